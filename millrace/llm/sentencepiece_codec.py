@@ -61,6 +61,12 @@ class MergeCodec:
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.tokens = list(self.pieces)  # and, appended, characters outside the vocabulary
+        self.sizes = [len(p) for p in self.pieces]
+        self.shown = [p.replace(MARK, " ") for p in self.pieces]
+        self.decimal = [str(i) for i in range(size)]
+        self.special = frozenset(self.byte_of) | self.controls | {self.unknown_id}
+        if not self.id_of.keys() >= {c for p in self.id_of for c in p}:
+            raise ValueError("every character of a token must be a token")
         self.extra: dict[str, int] = {}
         self.pairs: dict[int, bool] = {}
         self.young: dict[str, tuple] = {}
@@ -145,50 +151,49 @@ class MergeCodec:
 
     def last_tokens(self, text: str) -> list[int]:
         """Tokens of a piece without runs of marks, from its prefix table."""
-        n = len(text)
-        last, size = [-1] * (n + 1), [0] * (n + 1)
-        pairs, at = self.pairs, -1
+        n, known = len(text), self.id_of
+        if not known.keys() >= set(text):
+            # a character outside the vocabulary is a token of its own, and no token goes across it
+            out, start = [], 0
+            for at, char in enumerate(text):
+                if char not in known:
+                    out += self.last_tokens(text[start:at]) if start < at else []
+                    out.append(self._single(char))
+                    start = at + 1
+            return out + (self.last_tokens(text[start:]) if start < n else [])
+        last = [0] * (n + 1)
+        pairs, compatible = self.pairs, self.compatible
         for end, (token, length) in self.automaton.iter(text):
             end += 1
-            while at + 1 < end - 1:  # positions that no token ends at
-                at += 1
-                if last[at + 1] < 0:
-                    self._unknown(text, at, last, size)
-            at = max(at, end - 2)
-            if last[end] >= 0:
+            if last[end]:
                 continue
-            before = end - length
-            if before:
-                prev = last[before]
-                if prev < 0 or not (ok if (ok := pairs.get(prev << 24 | token)) is not None else self.compatible(prev, token)):
+            if end > length:
+                prev = last[end - length]
+                found = pairs.get(prev << 24 | token)
+                if not (compatible(prev, token) if found is None else found):
                     continue
-            last[end], size[end] = token, length
-        for at in range(n):
-            if last[at + 1] < 0:
-                self._unknown(text, at, last, size)
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at -= size[at]
+            last[end] = token
+        out, sizes = [], self.sizes
+        while n:
+            out.append(token := last[n])
+            n -= sizes[token]
         return out[::-1]
 
-    def _unknown(self, text: str, at: int, last: list[int], size: list[int]) -> None:
-        if text[at] not in self.id_of:
-            last[at + 1], size[at + 1] = self._single(text[at]), 1
-
     def _chunk(self, chunk: str) -> tuple[str, int, str]:
         """Of a run of marks and what follows it: decimal ids joined by one space, their number, the text they decode to."""
         ids = self.chunk_ids(chunk)
-        return " ".join(map(str, ids)), len(ids), self.surface(ids)
+        return " ".join(map(self.decimal.__getitem__, ids)), len(ids), self.surface(ids)
 
     def chunk_ids(self, chunk: str) -> list[int]:
-        marks = len(chunk) - len(chunk.lstrip(MARK))
-        tokens = self.last_tokens(chunk[marks - 1 :] if marks else chunk)
+        marks = len(chunk) - len(chunk.lstrip(MARK)) if chunk[1:2] == MARK else 1
+        tokens = self.last_tokens(chunk[marks - 1 :])
         if marks > 1:
             alone = tokens and tokens[0] == self.id_of.get(MARK)
             run = self.merged(MARK * (marks if alone else marks - 1))
             tokens = [self.id_of[p] for p in run] + tokens[1 if alone else 0 :]
         n, ids = len(self.pieces), []
+        if not tokens or max(tokens) < n:
+            return tokens
         for t in tokens:
             if t < n:
                 ids.append(t)
@@ -207,6 +212,8 @@ class MergeCodec:
         return [i for c in self.chunks(text) for i in self.chunk_ids(c)] + [self.end_id]
 
     def surface(self, ids: list[int]) -> str:
+        if self.special.isdisjoint(ids):
+            return "".join(map(self.shown.__getitem__, ids))
         out, raw = [], bytearray()
         for i in [*ids, -1]:
             if i in self.byte_of:
@@ -229,23 +236,23 @@ class MergeCodec:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text), piece by piece with a bounded cache."""
-        young, old = self.young, self.old
-        said, decoded, count = [], [], 1
-        for c in self.chunks(text):
-            entry = young.get(c)
-            if entry is None:
-                entry = old.get(c) or self._chunk(c)
-                if len(c) <= 64:
-                    if len(young) >= self.most:
-                        self.old = old = young
-                        self.young = young = {}
-                    young[c] = entry
-            said.append(entry[0])
-            count += entry[1]
-            decoded.append(entry[2])
-        said.append(str(self.end_id))
+        cut = self.chunks(text)
+        found = list(map(self.young.get, cut))
+        if None in found:
+            for k, entry in enumerate(found):
+                if entry is None:
+                    found[k] = self._remembered(cut[k])
+        said, counts, decoded = zip(*found) if found else ((), (), ())
         out = "".join(decoded)
-        return count, hashlib.sha256(" ".join(said).encode()).hexdigest(), hashlib.sha256(out[1:].encode()).hexdigest()
+        return 1 + sum(counts), hashlib.sha256(" ".join((*said, str(self.end_id))).encode()).hexdigest(), hashlib.sha256(out[1:].encode()).hexdigest()
+
+    def _remembered(self, chunk: str) -> tuple[str, int, str]:
+        entry = self.young.get(chunk) or self.old.get(chunk) or self._chunk(chunk)
+        if len(chunk) <= 64:
+            if len(self.young) >= self.most:
+                self.old, self.young = self.young, {}
+            self.young[chunk] = entry
+        return entry
 
 
 def _utf8(raw: bytes) -> str:
