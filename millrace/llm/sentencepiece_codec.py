@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from millrace.shipping import ship
+
 MARK = "▁"
 
 
@@ -288,6 +290,7 @@ def codec(model: str) -> MergeCodec:
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """(id, ids array) of every whole text: its ids and the end id. A null text counts as empty; repeated rows stay repeated."""
     model = model or default_model()
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
@@ -301,6 +304,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """(doc_id, text) of (doc_id, ids): the inverse of ``encode_documents``; null ids give a null text."""
     model = model or default_model()
+    ship(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
@@ -316,6 +320,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text is encoded as an empty one. Extra columns are not looked at; nulls in the id stay.
     """
     model = model or default_model()
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
