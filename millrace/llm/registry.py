@@ -6,14 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import sentencepiece_codec
-from millrace.llm.common import documents
+from pyspark.sql import functions as F
+
+from millrace.llm import language_id, quality_rules, sentencepiece_codec
+from millrace.llm.common import crc_fold, documents
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held = crc_fold("doc_id", 4) == 2
+    model = language_id.fit(docs, ~held)
+    return language_id.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
 def op4_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_sentencepiece_codec,)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = quality_rules.apply_policy(quality_rules.measure(documents(spark, sf_dir)), "v1")
+    failed = F.col("mask").bitwiseAND(F.lit(quality_rules.bits(quality_rules.POLICIES["base"]))) != 0
+    return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "mask")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op4_sentencepiece_codec, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
