@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from millrace.llm import fingerprints, language_id, quality_rules, sentencepiece_codec, source_mixing, url_filter
+from millrace.llm import fingerprints, jaccard_join, language_id, quality_rules, sentencepiece_codec, source_mixing, url_filter
 from millrace.llm.common import crc_fold, documents
 
 
@@ -31,6 +31,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(documents(spark, sf_dir))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_pairs(documents(spark, sf_dir))
 
@@ -41,6 +45,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "mask")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op4_sentencepiece_codec, op6_source_mixing, op7_url_filter, op9_fingerprints, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op4_sentencepiece_codec, op6_source_mixing, op7_url_filter, op8_jaccard_join, op9_fingerprints, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
