@@ -274,7 +274,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other = F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))).alias("other")
     tasks = tasks.select("label", "hash", "doc_id", "own", other).select(F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("task"), F.when(F.col("own") == F.col("other"), F.lit(0)).otherwise(F.when(F.col("own") < F.col("other"), F.lit(0)).otherwise(F.lit(1))).alias("side"), "hash", "doc_id")
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    links = tasks.join(texts, "doc_id").select("task", "side", "hash", "text").repartition("task").sortWithinPartitions("task", "hash").mapInArrow(_open(words, least), "a long, b long")
+    links = tasks.join(texts.hint("merge"), "doc_id").select("task", "side", "hash", "text").repartition("task").sortWithinPartitions("task", "hash").mapInArrow(_open(words, least), "a long, b long")
     joined = components(materialise(links, "joined"))
     named = nodes.join(joined, nodes.hash == joined.node, "left").select("hash", "doc_id", F.coalesce("label", "hash").alias("label"))
     named = materialise(named, "named")
