@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,10 +134,15 @@ def sets_and_signatures(docs: DataFrame, id_col: str, text_col: str, words: int,
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (signature, set) sorted by both: links from the first set of each signature to its others."""
+    """Rows sorted by (x, y): those of signatures become links from the first set of each signature to its others, the rest passes."""
     last, first = None, None
     for batch in batches:
-        key, member = (batch.column(k).to_numpy() for k in (0, 1))
+        if not batch.num_rows:
+            continue
+        met = batch.column(0).to_numpy() == 1
+        if not met.all():
+            yield batch.filter(pa.array(~met))
+        key, member = (batch.column(k).to_numpy(zero_copy_only=False)[met].astype(_SIGNED) for k in (1, 2))
         if not len(key):
             continue
         head = np.ones(len(key), dtype=bool)
@@ -150,7 +156,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other = lead != member
         pairs = _links(lead[other], member[other])
         if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            n = len(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, dtype=np.int8)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.zeros(n, dtype=_SIGNED))], names=["kind", "x", "y", "z"])
 
 
 class TokenGroupMatrix:
@@ -220,14 +227,21 @@ class TokenGroupMatrix:
         return out
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, as they are shuffled."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack.compress((t or "").encode("utf-8", "replace")) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "text"])
+
+
 def _open(words: int, least: int):
     """Rows (task, side, set, text) sorted by task: the links found in each task."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        rows, texts = [], rows
+        rows, texts, unpack = [], rows, zstandard.ZstdDecompressor()
         sets: dict[int, np.ndarray] = {}
         for side, h, t in texts:  # rows that share an id may bring the text of another set
-            if h not in sets and set_hash(s := shingle_set(t, words)) == h:
+            if h not in sets and set_hash(s := shingle_set(unpack.decompress(t).decode(), words)) == h:
                 sets[h] = s
                 rows.append((side, h))
         matrix = TokenGroupMatrix(list(sets.values()))
@@ -260,10 +274,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     ship(spark)
-    found = materialise(sets_and_signatures(docs, id_col, text_col, words, least), "sets")
+    signed = sets_and_signatures(docs, id_col, text_col, words, least)
+    found = materialise(signed.repartition("x").sortWithinPartitions("x", "y").mapInArrow(_meet, signed.schema), "sets")
     sets = found.filter("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), F.col("z").alias("hash"))
-    met = found.filter("kind = 1").select("x", "y").repartition("x").sortWithinPartitions("x", "y").mapInArrow(_meet, "a long, b long")
-    families = components(found.filter("kind = 2").select(F.col("x").alias("a"), F.col("y").alias("b")).union(met))
+    families = components(found.filter("kind = 2").select(F.col("x").alias("a"), F.col("y").alias("b")))
     nodes = sets.filter("hash is not null").groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
     members = materialise(families.join(nodes, families.node == nodes.hash).select("label", "hash", "doc_id", "n"), "members")
     weight = members.groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
@@ -273,7 +287,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tasks = members.join(large, "label").withColumn("own", own)
     other = F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))).alias("other")
     tasks = tasks.select("label", "hash", "doc_id", "own", other).select(F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("task"), F.when(F.col("own") == F.col("other"), F.lit(0)).otherwise(F.when(F.col("own") < F.col("other"), F.lit(0)).otherwise(F.lit(1))).alias("side"), "hash", "doc_id")
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(_packed, "doc_id long, text binary")
     links = tasks.join(texts.hint("merge"), "doc_id").select("task", "side", "hash", "text").repartition("task").sortWithinPartitions("task", "hash").mapInArrow(_open(words, least), "a long, b long")
     joined = components(materialise(links, "joined"))
     named = nodes.join(joined, nodes.hash == joined.node, "left").select("hash", "doc_id", F.coalesce("label", "hash").alias("label"))
@@ -282,3 +296,13 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = named.join(least_id, "label").select(F.col("hash").alias("of"), "component_id")
     out = sets.join(classes, sets.hash == classes.of, "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("hash").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: int = 80) -> DataFrame:
+    """The documents that are the least of their group of near duplicates; a document that links with nothing stays.
+
+    A document whose id is null stays. Rows that repeat a kept id with a text of the same group stay as that document does.
+    """
+    linked = link_documents(docs, id_col, text_col, words, least)
+    gone = linked.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")

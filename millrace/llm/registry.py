@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from millrace.llm import fingerprints, jaccard_join, language_id, mixing_model, quality_rules, sentencepiece_codec, source_mixing, suffix_dedup, url_filter
+from millrace.llm import fingerprints, importance_sampling, jaccard_join, language_id, mixing_model, quality_rules, sentencepiece_codec, source_mixing, suffix_dedup, url_filter
 from millrace.llm.common import crc_fold, documents
 
 
@@ -32,6 +32,11 @@ def op4_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(documents(spark, sf_dir))
 
 
+def op5_quality_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 and toxic = 0").select("doc_id")
+    return importance_sampling.sample(documents(spark, sf_dir), good)
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(documents(spark, sf_dir))
 
@@ -54,6 +59,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "mask")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_suffix_dedup, op4_sentencepiece_codec, op6_source_mixing, op7_url_filter, op8_jaccard_join, op9_fingerprints, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_suffix_dedup, op4_sentencepiece_codec, op5_quality_sampling, op6_source_mixing, op7_url_filter, op8_jaccard_join, op9_fingerprints, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -18,6 +18,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -238,6 +239,15 @@ class MergeCodec:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text), piece by piece with a bounded cache."""
+        said, count, out = self._whole(text)
+        return count, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(out[1:].encode()).hexdigest()
+
+    def encode_cached(self, text: str) -> np.ndarray:
+        """The ids of ``encode``, by way of the cache."""
+        return np.array(self._whole(text)[0].split(" "), dtype=np.int32)
+
+    def _whole(self, text: str) -> tuple[str, int, str]:
+        """(decimal ids joined by one space, their number, the text they decode to with its mark in front)."""
         cut = self.chunks(text)
         found = list(map(self.young.get, cut))
         if None in found:
@@ -245,8 +255,7 @@ class MergeCodec:
                 if entry is None:
                     found[k] = self._remembered(cut[k])
         said, counts, decoded = zip(*found) if found else ((), (), ())
-        out = "".join(decoded)
-        return 1 + sum(counts), hashlib.sha256(" ".join((*said, str(self.end_id))).encode()).hexdigest(), hashlib.sha256(out[1:].encode()).hexdigest()
+        return " ".join((*said, str(self.end_id))), 1 + sum(counts), "".join(decoded)
 
     def _remembered(self, chunk: str) -> tuple[str, int, str]:
         entry = self.young.get(chunk) or self.old.get(chunk) or self._chunk(chunk)
@@ -295,7 +304,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.encode(t or "") for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.encode_cached(t or "") for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")

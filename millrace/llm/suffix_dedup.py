@@ -292,12 +292,13 @@ def _cut(raw: bytes, runs: list | None) -> tuple[bytes, int, int]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows with n_bytes, n_removed, n_spans and kept (the bytes left, joined) appended, columns of these names replaced.
+    """The rows with n_bytes, n_removed, n_spans, kept (the bytes left, joined) and kept_text (those bytes without the parts of characters
+    that lost some) appended; columns of these names are replaced.
 
     A null text counts as empty and keeps nothing; texts shorter than ``length`` bytes stay whole. Rows that share an id are one document:
     what they have at the same start isn't earlier in either. A null id comes after all others. Nothing crosses documents.
     """
-    names = ("n_bytes", "n_removed", "n_spans", "kept")
+    names = ("n_bytes", "n_removed", "n_spans", "kept", "kept_text")
     docs = docs.drop(*names)
     runs = removed_runs(docs, id_col, text_col, **options)
     own = docs.columns
@@ -311,7 +312,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             raws = [(x or "").encode("utf-8", "replace") for x in batch.column(at).cast(pa.string()).to_pylist()]
             cut = [_cut(raw, r) for raw, r in zip(raws, batch.column(len(own)).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array([len(x) for x in raws], pa.int64()), pa.array([x[1] for x in cut], pa.int64()), pa.array([x[2] for x in cut], pa.int64()), pa.array([x[0] for x in cut], pa.binary())], names=[*own, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array([len(x) for x in raws], pa.int64()), pa.array([x[1] for x in cut], pa.int64()), pa.array([x[2] for x in cut], pa.int64()), pa.array([x[0] for x in cut], pa.binary()), pa.array([x[0].decode(errors="ignore") for x in cut], pa.string())], names=[*own, *names])
 
-    fields = [T.StructField(n, k) for n, k in zip(names, (T.LongType(), T.LongType(), T.LongType(), T.BinaryType()))]
+    fields = [T.StructField(n, k) for n, k in zip(names, (T.LongType(), T.LongType(), T.LongType(), T.BinaryType(), T.StringType()))]
     return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
