@@ -299,9 +299,9 @@ def wrapped(o: str, a: Column, b: Column) -> Column:
     quick = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[o](a, b)
     wide = lambda c: c.cast("decimal(38,0)")
     full = wide(a) + wide(b) if o == "+" else wide(a) - wide(b) if o == "-" else wide(a) * wide(b)
-    modulus = F.lit(1 << 64).cast("decimal(38,0)")
+    modulus = F.lit(str(1 << 64)).cast("decimal(38,0)")
     rest = F.pmod(full.cast("decimal(38,0)"), modulus)
-    return F.coalesce(quick, F.when(rest >= F.lit(1 << 63).cast("decimal(38,0)"), rest - modulus).otherwise(rest).cast("long"))
+    return F.coalesce(quick, F.when(rest >= F.lit(str(1 << 63)).cast("decimal(38,0)"), rest - modulus).otherwise(rest).cast("long"))
 
 
 def _nulls(what: str, x: Val, y: Val) -> Column | None:

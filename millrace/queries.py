@@ -108,7 +108,7 @@ exactly("ts_layouts", "orders", 'root.k = this.o_orderkey\nroot.f = this.o_order
 exactly("ts_iso", "orders", 'root.k = this.o_orderkey\nroot.a = this.o_orderdate.ts_add_iso8601("P1DT2H").ts_unix()\nroot.d = "PT1H30M".parse_duration_iso8601()\nroot.e = "1h30m".parse_duration()', "k long, a long, d long, e long", "SELECT o_orderkey AS k, CAST(floor(epoch_us(o_orderdate) / 1000000) AS BIGINT) + 93600 AS a, 5400000000000 AS d, 5400000000000 AS e FROM orders")
 
 # arrays and objects
-mapped("arr_map_filter", "embeddings", "root.k = this.vec_id\nroot.n = this.embedding.filter(x -> x > 0).length()\nroot.m = this.embedding.map_each(x -> x * 2).length()\nroot.any = this.embedding.any(x -> x > 0.1)\nroot.all = this.embedding.all(x -> x < 10)", "SELECT vec_id AS k, CAST(len(list_filter(embedding, x -> x > 0)) AS BIGINT) AS n, CAST(len(embedding) AS BIGINT) AS m, len(list_filter(embedding, x -> CAST(x AS DOUBLE) > 0.1)) > 0 AS any, len(list_filter(embedding, x -> x < 10)) = len(embedding) AS all FROM embeddings")
+mapped("arr_map_filter", "embeddings", "root.k = this.vec_id\nroot.n = this.embedding.filter(x -> x > 0).length()\nroot.m = this.embedding.map_each(x -> x * 2).length()\nroot.any = this.embedding.any(x -> x > 0.1)\nroot.all = this.embedding.all(x -> x < 10)", "SELECT vec_id AS k, CAST(len(list_filter(embedding, lambda x: x > 0)) AS BIGINT) AS n, CAST(len(embedding) AS BIGINT) AS m, len(list_filter(embedding, lambda x: CAST(x AS DOUBLE) > 0.1)) > 0 AS any, len(list_filter(embedding, lambda x: x < 10)) = len(embedding) AS all FROM embeddings")
 mapped("arr_aggregates", "embeddings", "root.k = this.vec_id\nroot.lo = this.embedding.min()\nroot.hi = this.embedding.max()\nroot.n = this.embedding.length()\nroot.s = (this.embedding.sum() * 1000).round()", "SELECT vec_id AS k, CAST(list_min(embedding) AS DOUBLE) AS lo, CAST(list_max(embedding) AS DOUBLE) AS hi, CAST(len(embedding) AS BIGINT) AS n, round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding]) * 1000) AS s FROM embeddings")
 mapped("arr_sort_unique", "part", 'root.k = this.p_partkey\nroot.s = this.p_type.split(" ").sort().join(",")\nroot.u = (this.p_type + " " + this.p_type).split(" ").unique().length()', "SELECT p_partkey AS k, array_to_string(list_sort(string_split(p_type, ' ')), ',') AS s, CAST(len(list_distinct(string_split(p_type, ' '))) AS BIGINT) AS u FROM part")
 mapped("arr_build", "nation", "root.k = this.n_nationkey\nroot.a = [this.n_regionkey, 7].append(9).concat([1]).sum()\nroot.f = [[1, 2], [3]].flatten().length()\nroot.i = [5, 6, 7].find(this.n_regionkey + 5)\nroot.x = [10, 20, 30, 40, 50, 60][this.n_regionkey]", "SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_regionkey + 17 AS BIGINT) AS a, 3::BIGINT AS f, CASE WHEN n_regionkey < 3 THEN CAST(n_regionkey AS BIGINT) ELSE -1 END AS i, CAST((n_regionkey + 1) * 10 AS BIGINT) AS x FROM nation")
