@@ -40,6 +40,7 @@ class Flow:
     typed: bool
     single: bool = True  # every message is a batch of its own
     failing: bool = False  # rows may carry an error
+    aside: DataFrame | None = None  # messages that failed in a typed mapping, as bytes
 
     @property
     def fields(self) -> dict[str, Val]:
@@ -58,9 +59,18 @@ class Flow:
         """The same messages as bytes."""
         if not self.typed:
             return self
+        if self.aside is not None:
+            return replace(self, df=replace(self, aside=None).raw().df.unionByName(self.aside), typed=False, failing=True, aside=None)
         text = F.coalesce(F.col("content"), _json(self.df.schema["doc"].dataType))
         return replace(self, df=self.df.select(text.alias("content"), "meta", "err", "ord", "batch"), typed=False)
 
+    def parted(self) -> tuple["Flow", "Flow"]:
+        """Messages without an error, still typed, and those with one."""
+        failed = replace(self, df=self.df.filter("err is not null"), aside=None).raw()
+        if self.aside is not None:
+            failed = replace(failed, df=failed.df.unionByName(self.aside))
+        return replace(self, df=self.df.filter("err is null"), failing=False, aside=None), failed
+
     def rows(self) -> DataFrame:
         """The documents as columns; messages with an error are left out."""
         if not self.typed:
@@ -79,7 +89,7 @@ def _json(kind: T.StructType) -> Column:
     def shaped(c: Column, t: T.DataType) -> Column:
         if isinstance(t, T.StructType):
             return F.struct(*(shaped(c.getField(f.name), f.dataType).alias(f.name) for f in sorted(t.fields, key=lambda f: f.name)))
-        if isinstance(t, T.TimestampType):
+        if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
             return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.regexp_replace(F.date_format(c, ".SSSSSS"), r"\.?0+$", ""), F.lit("Z"))
         return c
 
@@ -106,6 +116,11 @@ def from_content(df: DataFrame, content: str = "content", order_by: list[str] |
 # mappings
 def mapping(flow: Flow, text: str, resources: Resources, mutate: bool = False, source: dict | None = None) -> Flow:
     source = source or {"name": "mutation" if mutate else "mapping", "label": "", "path": ""}
+    if flow.typed and (flow.failing or flow.aside is not None):
+        # the failed ones go on with the content they had; they are only read if someone asks for them
+        main, failed = flow.parted()
+        out, rest = mapping(main, text, resources, mutate, source), exact(failed, [{"mutation" if mutate else "mapping": text}], resources)
+        return replace(out, aside=rest.df) if out.typed else replace(out, df=out.df.unionByName(rest.df))
     if flow.typed and not flow.failing:
         try:
             return _compiled(flow, text, mutate, source)
@@ -383,24 +398,32 @@ def branch(flow: Flow, config: dict, resources: Resources) -> Flow:
 
 def _branch_compiled(flow: Flow, config: dict, children: list[dict]) -> Flow:
     fields, ids, skipped, errors = flow.fields, flow.ids(), None, []
-    steps = ([(config["request_map"], False)] if config.get("request_map") else []) + [(next(iter(c.values())), name_of(c) == "mutation") for c in children if name_of(c) != "noop"]
+    steps = ([(config["request_map"], False, "request mapping failed: ")] if config.get("request_map") else []) + [(next(iter(c.values())), name_of(c) == "mutation", "processors failed: ") for c in children if name_of(c) != "noop"]
     now = fields
-    for k, (text, mutate) in enumerate(steps):
+    for k, (text, mutate, what) in enumerate([*steps, (config["result_map"], False, "result mapping failed: ")]):
         c = compile_mapping(text, now, ids, mutate)
-        if c.root is not None or c.meta is not None or c.error is not None or c.deleted is not None and (k or not config.get("request_map")) or not c.fields:
-            raise Unsupported("a branch step that may fail")
-        skipped = c.deleted if k == 0 and c.deleted is not None else skipped
+        if c.root is not None or c.meta is not None or c.deleted is not None and (k or not config.get("request_map")) or not c.fields:
+            raise Unsupported("a branch step that leaves the document's form")
+        if c.error is not None:
+            errors.append(F.when(c.error.isNotNull(), F.concat(F.lit(what), c.error)))
+        skipped = c.deleted if c.deleted is not None else skipped
         now = c.fields
-    merged = compile_mapping(config["result_map"], now, ids)
-    if merged.root is not None or merged.error is not None or merged.deleted is not None or merged.meta is not None:
-        raise Unsupported("a result that may fail")
+    skip = F.coalesce(skipped, F.lit(False)) if skipped is not None else None
     out = dict(fields)
-    for name, v in merged.fields.items():
-        if skipped is not None and name not in fields:
+    for name, v in now.items():
+        if skip is not None and name not in fields:
             raise Unsupported("a result field that skipped messages lack")
-        out[name] = Val(F.when(F.coalesce(skipped, F.lit(False)), fields[name].col).otherwise(v.col), v.type) if skipped is not None else v
-    del errors
-    return replace(flow, df=flow.df.withColumn("doc", F.struct(*(out[k].col.alias(k) for k in sorted(out)))))
+        out[name] = v if skip is None else Val(F.when(skip, fields[name].col).otherwise(v.col), v.type)
+    new = F.struct(*(out[k].col.alias(k) for k in sorted(out)))
+    if not errors:
+        return replace(flow, df=flow.df.withColumn("doc", new))
+    error = F.coalesce(*errors)
+    error = error if skip is None else F.when(~skip, error)
+    df = flow.df.select("*", new.alias("_doc"), error.alias("_error"))
+    failed = F.col("_error").isNotNull()
+    err = F.when(failed, F.struct(F.col("_error").alias("msg"), F.lit("branch").alias("name"), F.lit("").alias("label"), F.lit("").alias("path"))).otherwise(F.col("err"))
+    out_df = df.select(F.when(~failed, F.col("_doc")).alias("doc"), F.when(failed, F.coalesce(F.col("content"), _json(flow.df.schema["doc"].dataType))).alias("content"), "meta", err.cast(ERR).alias("err"), "ord", "batch")
+    return replace(flow, df=out_df, failing=True)
 
 
 def _exactly(kind: str) -> Callable:
@@ -426,6 +449,8 @@ def run_chain(flow: Flow, configs: list[dict], resources: Resources | None = Non
             continue
         if kind not in PROCESSORS:
             raise ConfigError(f"processor '{kind}' is not known or not supported")
+        if flow.aside is not None and kind not in ("mapping", "bloblang", "mutation", "noop", "rate_limit", "try"):
+            flow = flow.raw()
         flow = PROCESSORS[kind](flow, config[kind], resources)
     return flow
 

@@ -218,16 +218,19 @@ class Lowering:
     def _match(self, context: tuple | None, arms: list) -> Val:
         value = self.at(context) if context is not None else None
         inner = self.scope.bound(value, None) if value is not None else self.scope
-        found = []
+        found, other = [], Val(F.lit(None), NULL, control="nothing")
         for test, then in arms:
+            if test == ("any",):
+                other = Lowering(inner).at(then)
+                break
             if test[0] == "literal" and value is not None:
                 t = comparison("==", value, self.at(test))
             else:
-                t = Val(F.lit(True), BOOL) if test == ("any",) else Lowering(inner).at(test)
+                t = Lowering(inner).at(test)
                 _is(t, T.BooleanType)
                 t = Val(F.coalesce(F.when(t.err.isNull(), t.col) if t.err is not None else t.col, F.lit(False)), BOOL)
             found.append((t, Lowering(inner).at(then)))
-        return chosen(found, Val(F.lit(None), NULL, control="nothing"))
+        return chosen(found, other) if found else other
 
     def _within(self, target: tuple, body: tuple) -> Val:
         name, inner = (body[1], body[2]) if body[0] == "lambda" else (None, body)

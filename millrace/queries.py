@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.batches import Resources
-from millrace.operators.flow import Flow, batching, from_content, from_table, mapping, run_chain
+from millrace.operators.flow import Flow, batching, from_table, mapping, run_chain
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,8 +73,8 @@ def map_filter_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # numbers
-mapped("num_arithmetic", "lineitem", "root.k = this.l_orderkey\nroot.l = this.l_linenumber\nroot.add = this.l_quantity + this.l_tax\nroot.div = this.l_partkey / this.l_suppkey\nroot.mod = this.l_partkey % this.l_suppkey\nroot.neg = -this.l_partkey", "SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS l, l_quantity + l_tax AS add, l_partkey / l_suppkey AS div, l_partkey % l_suppkey AS mod, -l_partkey AS neg FROM lineitem")
-mapped("num_wrap", "part", "root.k = this.p_partkey\nroot.w = 9223372036854775807 + this.p_partkey", "SELECT p_partkey AS k, CAST(-9223372036854775808 + (p_partkey - 1) AS BIGINT) AS w FROM part")
+mapped("num_arithmetic", "lineitem", "root.k = this.l_orderkey\nroot.l = this.l_linenumber\nroot.add = this.l_quantity + this.l_tax\nroot.div = this.l_partkey / (this.l_suppkey + 1)\nroot.mod = this.l_partkey % (this.l_suppkey + 1)\nroot.neg = -this.l_partkey", "SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS l, l_quantity + l_tax AS add, l_partkey / (l_suppkey + 1) AS div, l_partkey % (l_suppkey + 1) AS mod, -l_partkey AS neg FROM lineitem")
+mapped("num_wrap", "part", "root.k = this.p_partkey\nroot.w = 9223372036854775807 + this.p_partkey", "SELECT p_partkey AS k, CAST(CASE WHEN p_partkey = 0 THEN 9223372036854775807 ELSE -9223372036854775808::HUGEINT + p_partkey - 1 END AS BIGINT) AS w FROM part")
 mapped("num_rounding", "customer", "root.k = this.c_custkey\nroot.c = this.c_acctbal.ceil()\nroot.f = this.c_acctbal.floor()\nroot.r = (this.c_acctbal / 3).round()\nroot.a = this.c_acctbal.abs()", "SELECT c_custkey AS k, ceil(c_acctbal) AS c, floor(c_acctbal) AS f, round(c_acctbal / 3) AS r, abs(c_acctbal) AS a FROM customer")
 mapped("num_bitwise", "part", "root.k = this.p_partkey\nroot.a = this.p_partkey.bitwise_and(12)\nroot.o = this.p_partkey.bitwise_or(5)\nroot.x = this.p_partkey.bitwise_xor(255)", "SELECT p_partkey AS k, p_partkey & 12 AS a, p_partkey | 5 AS o, xor(p_partkey, 255) AS x FROM part")
 mapped("num_functions", "part", "root.k = this.p_partkey\nroot.p = this.p_size.pow(2)\nroot.l = this.p_retailprice.log10() * 1000\nroot.n = this.p_retailprice.log().floor()\nroot.s = (this.p_size.sin() * 1000000).round()", "SELECT p_partkey AS k, power(p_size, 2) AS p, log10(p_retailprice) * 1000 AS l, floor(ln(p_retailprice)) AS n, round(sin(p_size) * 1000000) AS s FROM part")
@@ -204,6 +203,3 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = table(spark, sf_dir, "events")
     flow = run_chain(flow, [{"mapping": "root.user_id = this.user_id\nroot.kind = this.event_type\nroot.props = this.props\nroot.value = this.value"}, {"mapping": "root = this\nroot = if this.value < 10 { deleted() }"}, {"dedupe": {"cache": "seen", "key": "${! this.user_id }"}}], resources)
     return mapping(flow, "root.user_id = this.user_id\nroot.kind = this.kind\nroot.k = this.props.parse_json().k\nroot.score = (this.value * 10).round()", resources).rows_as("user_id long, kind string, k long, score double")
-
-
-__all__ = ["Any", "ORACLE_SQL", "QUERIES", "from_content"]
