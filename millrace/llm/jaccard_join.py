@@ -1,8 +1,8 @@
 """Exact similarity join of shingle sets: documents link when 100 * intersection >= least * union.
 
 Two sets of which the smaller has n shingles and that link differ in at most (100 - least) * n / least shingles, H of them. Cut the
-hash space into H + 1 ranges: in one range at least they agree in full. So each set signs its ranges, sets that share a signature
-may link, and others cannot. Signatures follow size classes (a set signs for its own class and for the one below), are
+hash space into more than H ranges: they agree in full in all but H of them. So each set signs its ranges, sets that share a
+signature may link, and others cannot. Signatures follow size classes (a set signs for its own class and for the one below), are
 combined within each block of documents before they are shuffled, and give stars of candidate links; the components of
 those are families, and no link leaves a family.
 
@@ -53,26 +53,32 @@ class Signatures:
             self.starts.append(self.starts[-1] * 100 // self.least + 1)
         return int(np.searchsorted(self.starts, n, side="right")) - 1
 
-    def ranges(self, c: int) -> int:
-        """H + 1 for pairs whose smaller set is in class c."""
-        self.size_class(self.starts[c])
+    def most_apart(self, c: int) -> int:
+        """H: in how many shingles two sets can differ that link, the smaller of them in class c."""
         while len(self.starts) < c + 2:
             self.starts.append(self.starts[-1] * 100 // self.least + 1)
-        return (self.starts[c + 1] - 1) * (100 - self.least) // self.least + 1
+        return (self.starts[c + 1] - 1) * (100 - self.least) // self.least
 
     def of(self, sorted_set: np.ndarray) -> np.ndarray:
+        """Of two sets that link at most H ranges differ. So if more than H ranges of one of them hold shingles, one of those is equal in
+        both: ranges without shingles need no signature. There are a few more ranges than H + 1, and the rare sets that fill only
+        H of them or fewer share one more signature."""
         n = len(sorted_set)
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(mix64(sorted_set), out=sums[1:])
         own, out = self.size_class(n), []
         for c in (own, own - 1):
-            if c < 0 or (p := self.ranges(c)) < 2:
+            if c < 0 or (h := self.most_apart(c)) < 1:
                 continue  # sets of this class link only if they are equal
+            p = (h + 1) * 23 // 20 + 3
             if p not in self.edges:
                 self.edges[p] = np.array([k * (1 << 64) // p for k in range(1, p)], dtype=np.uint64)
             at = np.concatenate(([0], np.searchsorted(sorted_set, self.edges[p]), [n]))
+            full = np.flatnonzero(at[1:] > at[:-1])
             with np.errstate(over="ignore"):
-                out.append(mix64(sums[at[1:]] - sums[at[:-1]] + mix64(np.arange(p, dtype=np.uint64) + np.uint64(c << 32))))
+                out.append(mix64(sums[at[full + 1]] - sums[at[full]] + mix64(full.astype(np.uint64) + np.uint64(c << 32))))
+                if len(full) <= h:
+                    out.append(mix64(np.array([(c << 32) + 0xFFFFFFFF], dtype=np.uint64)))
         return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
