@@ -36,7 +36,7 @@ def default_model() -> str:
 class MergeCodec:
     """Encoder and decoder of one model file. ``cache_entries`` bounds each of the two generations of remembered pieces."""
 
-    def __init__(self, model: str, cache_entries: int = 300_000):
+    def __init__(self, model: str, cache_entries: int = 100_000):
         import ahocorasick
         import sentencepiece
 
@@ -122,7 +122,7 @@ class MergeCodec:
         """Whether the tokens a and b can follow one another."""
         key = a << 24 | b
         if (found := self.pairs.get(key)) is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
             found = self.pairs[key] = self._apart(self.tokens[a], self.tokens[b])
         return found
