@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from millrace.llm import fingerprints, importance_sampling, jaccard_join, language_id, mixing_model, quality_rules, sentencepiece_codec, source_mixing, suffix_dedup, url_filter
+from millrace.llm import fingerprints, importance_sampling, jaccard_join, language_id, mixing_model, oracles, quality_rules, sentencepiece_codec, source_mixing, suffix_dedup, url_filter
 from millrace.llm.common import crc_fold, documents
 
 
@@ -61,4 +61,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_suffix_dedup, op4_sentencepiece_codec, op5_quality_sampling, op6_source_mixing, op7_url_filter, op8_jaccard_join, op9_fingerprints, op10_quality_rules)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_source_mixing": oracles.SOURCE_MIXING, "op8_jaccard_join": oracles.JACCARD_JOIN, "op10_quality_rules": oracles.QUALITY_RULES}
