@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from millrace.config import resources_of
 from millrace.operators.batches import ConfigError, Resources
 from millrace.operators.flow import Flow, batching, from_table, run_chain
-from millrace.sources import inputs, outputs
+from millrace.sources import inputs, network, outputs
 from millrace.sources.scanners import from_codec
 
 
@@ -33,6 +33,10 @@ def read(spark: SparkSession, node: dict, doc: dict, resources: Resources) -> Fl
         flow = inputs.files(spark, c["paths"], c.get("scanner") or (from_codec(c["codec"]) if c.get("codec") else None))
     elif kind == "stdin":
         flow = inputs.stdin(spark, c.get("scanner"))
+    elif kind == "http_client":
+        flow = network.http_client_input(spark, c)
+    elif kind == "socket":
+        flow = network.socket_input(spark, c)
     elif kind == "broker":
         flow = inputs.broker([read(spark, x, doc, resources) for x in c["inputs"]], int(c.get("copies", 1)))
     elif kind == "sequence":
@@ -71,6 +75,10 @@ def sink(node: dict, doc: dict, resources: Resources) -> outputs.Output:
         out = outputs.switch([case | {"output": sink(case["output"], doc, resources)} for case in c["cases"]], bool(c.get("strict_mode")))
     elif kind == "fallback":
         out = outputs.fallback([sink(x, doc, resources) for x in c])
+    elif kind == "http_client":
+        out = network.http_client_output(c)
+    elif kind == "socket":
+        out = network.socket_output(c)
     elif kind == "kafka":
         out = lambda flow: outputs.kafka_writer(flow, c).save()
     else:
