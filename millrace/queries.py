@@ -203,3 +203,26 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = table(spark, sf_dir, "events")
     flow = run_chain(flow, [{"mapping": "root.user_id = this.user_id\nroot.kind = this.event_type\nroot.props = this.props\nroot.value = this.value"}, {"mapping": "root = this\nroot = if this.value < 10 { deleted() }"}, {"dedupe": {"cache": "seen", "key": "${! this.user_id }"}}], resources)
     return mapping(flow, "root.user_id = this.user_id\nroot.kind = this.kind\nroot.k = this.props.parse_json().k\nroot.score = (this.value * 10).round()", resources).rows_as("user_id long, kind string, k long, score double")
+
+
+exactly("fn_identifiers", "nation", "root.k = this.n_nationkey\nroot.u = uuid_v4().length()\nroot.v = uuid_v7().slice(14, 15)\nroot.l = ulid().length()\nroot.s = ksuid().length()\nroot.n = nanoid().length()\nroot.f = snowflake_id().int64() > 0\nroot.five = \"a\".uuid_v5(\"dns\").length()", "k long, u long, v string, l long, s long, n long, f boolean, five long", "SELECT CAST(n_nationkey AS BIGINT) AS k, 36::BIGINT AS u, '7' AS v, 26::BIGINT AS l, 27::BIGINT AS s, 21::BIGINT AS n, true AS f, 36::BIGINT AS five FROM nation")
+exactly("str_slug_html", "nation", 'root.k = this.n_nationkey\nroot.s = this.n_name.slug()\nroot.e = ("<b>" + this.n_name + "</b>").escape_html().unescape_html()\nroot.p = ("<b>" + this.n_name + "</b><i>x</i>").strip_html(["b"])\nroot.u = this.n_name.escape_url_path().unescape_url_path()', "k long, s string, e string, p string, u string", "SELECT CAST(n_nationkey AS BIGINT) AS k, regexp_replace(lower(n_name), '[^a-z0-9_]+', '-', 'g') AS s, '<b>' || n_name || '</b>' AS e, '<b>' || n_name || '</b>x' AS p, n_name AS u FROM nation")
+exactly("json_schema_path", "nation", 'root.k = this.n_nationkey\nroot.p = {"a": [{"b": this.n_regionkey}, {"b": 9}]}.json_path("$.a[*].b").sum()\nroot.ok = this.json_schema("{\\"type\\":\\"object\\",\\"required\\":[\\"n_name\\"]}").catch(null) != null\nroot.bad = this.json_schema("{\\"required\\":[\\"zzz\\"]}").catch(null) != null', "k long, p long, ok boolean, bad boolean", "SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_regionkey + 9 AS BIGINT) AS p, true AS ok, false AS bad FROM nation")
+
+
+@query("out_broker", "SELECT 0 AS sink, CAST(n_nationkey AS BIGINT) AS k FROM nation UNION ALL SELECT 1, CAST(n_nationkey AS BIGINT) FROM nation")
+def out_broker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two outputs of a fan-out get."""
+    from millrace.sources.outputs import broker
+
+    got: list[DataFrame] = []
+    take = [lambda flow, k=k: got.append(flow.rows().withColumn("sink", F.lit(k))) for k in range(2)]
+    broker(take)(mapping(table(spark, sf_dir, "nation"), "root.k = this.n_nationkey", Resources()))
+    return got[0].unionByName(got[1]).select("sink", "k")
+
+
+@query("batch_period", "SELECT event_id, strftime(to_timestamp(floor(epoch_us(ts) / 3600000000.0) * 3600) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:00:00.000') AS batch FROM events")
+def batch_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.streaming.runner import period_batches
+
+    return period_batches(table(spark, sf_dir, "events"), "ts", "1 hour").df.select("doc.event_id", "batch")
