@@ -290,3 +290,13 @@ def test_quality_rules(docs, nothing):
     assert told["few_words"].failed == sum(r.n_words < 20 for r in out)
     assert told["few_words"].kept_without == sum(not r.mask & quality_rules.bits(("repeated_windows",)) for r in out)
     assert quality_rules.measure(nothing).count() == 0 and len(quality_rules.ablation(quality_rules.measure(nothing), "v1").collect()) == 8
+
+
+def test_scratch_tables_go(spark):
+    from millrace.llm.common import clear_scratch, materialise
+
+    kept = materialise(spark.range(3).toDF("x"), "some")
+    assert kept.count() == 3
+    clear_scratch(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0]).count()
