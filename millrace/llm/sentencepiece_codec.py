@@ -36,7 +36,7 @@ def default_model() -> str:
 class MergeCodec:
     """Encoder and decoder of one model file. ``cache_entries`` bounds each of the two generations of remembered pieces."""
 
-    def __init__(self, model: str, cache_entries: int = 100_000):
+    def __init__(self, model: str, cache_entries: int = 160_000):
         import ahocorasick
         import sentencepiece
 
