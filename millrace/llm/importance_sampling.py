@@ -67,9 +67,11 @@ def weigh(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = [ngram_counts(t) for t in b.column(1).to_pylist()]
-            n = [int(c.sum()) for c in counts]
-            w = [float(c @ ratios) for c in counts]
+            n, w = [], []
+            for t in b.column(1).to_pylist():  # one text's counts at a time
+                c = ngram_counts(t)
+                n.append(int(c.sum()))
+                w.append(float(c @ ratios))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(w, pa.float64()), pa.array([x / k if k else None for x, k in zip(w, n)], pa.float64())], names=["doc_id", "n_grams", "log_weight", "mean_weight"])
 
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("t")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, n_grams long, log_weight double, mean_weight double")
