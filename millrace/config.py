@@ -13,6 +13,7 @@ import yaml
 from millrace.functions.values import MappingError, equal, from_json, text_of
 from millrace.operators import batches
 from millrace.operators.batches import ConfigError, Resources
+from millrace.operators.flow import policy_problems
 from millrace.plans.evaluator import Message, context_of, evaluate, program
 from millrace.plans.parser import ParseError, parse
 
@@ -134,6 +135,8 @@ def lint(text: str, env: dict[str, str] | None = None) -> list[str]:
             if re.match(r"@|\S+ \S+ ", str(config.get("interval", ""))):
                 found.append(f"{path}: generate: cron intervals are not supported")
             mapping(config.get("mapping", "root = {}"), f"{path}.generate.mapping")
+        if policy := node.get("batching") or config.get("batching"):
+            batching(policy, path)
         for k, child in enumerate(config.get("inputs") or config.get("outputs") or []):
             component(child, f"{path}.{kind}.{k}", known)
         if kind == "switch":
@@ -148,6 +151,13 @@ def lint(text: str, env: dict[str, str] | None = None) -> list[str]:
         except (ParseError, MappingError) as e:
             found.append(f"{path}: {e}")
 
+    def batching(policy: Any, path: str) -> None:
+        found.extend(f"{path}: {p}" for p in policy_problems(policy))
+        if isinstance(policy, dict):
+            if policy.get("check"):
+                mapping(policy["check"], f"{path}.batching.check")
+            processors(policy.get("processors") or [], f"{path}.batching.processors")
+
     def processors(configs: Any, path: str) -> None:
         for k, c in enumerate(configs):
             where = f"{path}.{k}"
@@ -173,6 +183,9 @@ def lint(text: str, env: dict[str, str] | None = None) -> list[str]:
         for kind in doc.get(key) or {}:
             if kind not in known:
                 found.append(f"{key}: '{kind}' is not supported")
+    policy = dict(((doc.get("buffer") or {}).get("memory") or {}).get("batch_policy") or {})
+    if policy.pop("enabled", False):
+        batching(policy, "buffer.memory.batch_policy")
     return found
 
 

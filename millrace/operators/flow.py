@@ -456,18 +456,99 @@ def run_chain(flow: Flow, configs: list[dict], resources: Resources | None = Non
 
 
 # batching policies
-def batching(flow: Flow, count: int = 0, check: str | None = None, order: Column | None = None, key: str | None = None) -> Flow:
-    """Batches by a count, or after each message that a check holds for (that message included), within each value of the column ``key``
-    of the document, or over all messages, which then have to be put in one order."""
-    w = Window.partitionBy(*([F.col("doc").getField(key)] if key else [])).orderBy("ord")
-    if check:
-        before = F.coalesce(F.lag(_check(flow, check).cast("int")).over(w), F.lit(0))
-        df = flow.df.withColumn("_before", before).withColumn("_b", F.sum("_before").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_before")
-    elif count > 0:
+POLICY = ("count", "byte_size", "check", "period", "processors")
+
+
+def policy_problems(policy: Any) -> list[str]:
+    """What of a policy's fields can't be run as written."""
+    if not isinstance(policy, dict):
+        return ["batching: expected an object"]
+    found = [f"batching: field '{k}' not recognised" for k in policy if k not in POLICY]
+    if str(policy.get("period") or "0s") not in ("0s", "0"):
+        found.append("batching: period is not supported in documents: messages of a batch run have no time of arrival")
+    for k in ("count", "byte_size"):
+        try:
+            int(policy.get(k) or 0)
+        except (TypeError, ValueError):
+            found.append(f"batching: {k} is not a number")
+    if policy.get("processors") and not any(policy.get(k) for k in ("count", "byte_size", "check", "period")):
+        found.append("batching: a policy with processors needs a count, a byte_size or a check")
+    return found
+
+
+def batched(flow: Flow, policy: dict, resources: Resources) -> Flow:
+    """A document's policy with its processors; one without a trigger leaves the batches alone."""
+    if found := policy_problems(policy):
+        raise ConfigError("; ".join(found))
+    count, byte_size, check = int(policy.get("count") or 0), int(policy.get("byte_size") or 0), policy.get("check")
+    if count <= 0 and byte_size <= 0 and not check:
+        return flow
+    return run_chain(batching(flow, count, check, byte_size=byte_size), policy.get("processors") or [], resources)
+
+
+def batching(flow: Flow, count: int = 0, check: str | None = None, order: Column | None = None, key: str | None = None, byte_size: int = 0) -> Flow:
+    """Batches that end with the message that makes them ``count`` messages or ``byte_size`` bytes, or that a check holds for, whichever
+    comes first, within each value of the column ``key`` of the document, or over all messages, which then have to be put in one order."""
+    if count <= 0 and byte_size <= 0 and not check:
+        raise ConfigError("batching needs a count, a byte_size or a check")
+    if flow.aside is not None:
+        if key:
+            raise ConfigError("batching by a key needs messages that are all typed")
+        flow = flow.raw()
+    by = [F.col("doc").getField(key)] if key else []
+    w = Window.partitionBy(*by).orderBy("ord")
+    ends = None
+    if check and flow.typed and not flow.failing and not _BATCHED.search(check):
+        try:
+            ends = _check(flow, check)
+        except Unsupported:
+            pass
+    if not check and byte_size <= 0:
         df = flow.df.withColumn("_b", F.floor((F.row_number().over(w) - 1) / count))
+    elif ends is not None and count <= 0 and byte_size <= 0:
+        before = F.coalesce(F.lag(ends.cast("int")).over(w), F.lit(0))
+        df = flow.df.withColumn("_before", before).withColumn("_b", F.sum("_before").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_before")
     else:
-        raise ConfigError("batching needs a count or a check")
+        df = _accumulated(flow, count, byte_size, check, ends, by)
     name = F.lpad(F.col("_b").cast("string"), 12, "0")
     if key:
         name = F.concat(F.coalesce(F.col("doc").getField(key).cast("string"), F.lit("")), F.lit("/"), name)
     return replace(flow, df=df.withColumn("batch", name).drop("_b"), single=False)
+
+
+def _accumulated(flow: Flow, count: int, byte_size: int, check: str | None, ends: Column | None, by: list[Column]) -> DataFrame:
+    """The messages with ``_b``, the number of their batch: one task goes through a key's messages in order and ends a batch by the first
+    trigger that fires. A check that isn't compiled is evaluated there, over the batch so far where it looks at batches."""
+    ship(flow.df.sparkSession)
+    columns = flow.df.columns
+    content = F.coalesce(F.col("content"), _json(flow.df.schema["doc"].dataType)) if flow.typed else F.col("content")
+    dynamic, whole = check is not None and check != "" and ends is None, bool(check and _BATCHED.search(check))
+    df = flow.df.select(
+        *columns, F.to_json(F.struct(*(c.alias("k") for c in by))).alias("_key") if by else F.lit("").alias("_key"), F.octet_length(content).cast("long").alias("_size") if byte_size > 0 else F.lit(0).cast("long").alias("_size"),
+        (ends if ends is not None else F.lit(False)).alias("_ends"), (content if dynamic else F.lit(None).cast("binary")).alias("_text"),
+    )
+    df = (df.repartition("_key") if by else df.repartition(1)).sortWithinPartitions("_key", "ord")
+    n, meta, err = len(columns), columns.index("meta"), columns.index("err")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = batches.check(check) if dynamic else None
+        last, number, held, size, members = None, 0, 0, 0, []
+        for part in parts:
+            numbers = []
+            texts = zip(*(part.column(k).to_pylist() for k in (n + 3, meta, err))) if dynamic else iter([(None, None, None)] * part.num_rows)
+            for key, more, ended, (text, m, e) in zip(part.column(n).to_pylist(), part.column(n + 1).to_pylist(), part.column(n + 2).to_pylist(), texts):
+                if key != last:
+                    last, number, held, size, members = key, 0, 0, 0, []
+                numbers.append(number)
+                held, size = held + 1, size + (more or 0)
+                full = 0 < count <= held or 0 < byte_size <= size or bool(ended)
+                if dynamic and (whole or not full):
+                    members.append(Message(text, meta=dict(m or []), err=e))
+                    full = full or test(members, len(members) - 1)
+                    if not whole:
+                        members.clear()
+                if full:
+                    number, held, size, members = number + 1, 0, 0, []
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(numbers, pa.int64())], names=[*columns, "_b"])
+
+    return df.mapInArrow(run, T.StructType([*flow.df.schema.fields, T.StructField("_b", T.LongType())]))

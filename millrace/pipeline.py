@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from millrace.config import resources_of
 from millrace.operators.batches import ConfigError, Resources
-from millrace.operators.flow import Flow, batching, from_table, run_chain
+from millrace.operators.flow import Flow, batched, from_table, run_chain
 from millrace.sources import inputs, network, outputs
 from millrace.sources.scanners import from_codec
 
@@ -17,6 +17,18 @@ def _kind(node: dict) -> str:
     return next(k for k in node if k not in ("label", "processors", "batching", "auto_replay_nacks"))
 
 
+def policy_of(node: dict) -> Any:
+    """The batching policy in or beside the body of an input or output."""
+    body = node[_kind(node)]
+    return node.get("batching") or (body.get("batching") if isinstance(body, dict) else None)
+
+
+def buffered(flow: Flow, buffer: dict, resources: Resources) -> Flow:
+    """Batches of the memory buffer's policy, where it is enabled; holding messages is Spark's."""
+    policy = dict((buffer.get("memory") or {}).get("batch_policy") or {})
+    return batched(flow, policy, resources) if policy.pop("enabled", False) else flow
+
+
 def read(spark: SparkSession, node: dict, doc: dict, resources: Resources) -> Flow:
     kind = _kind(node)
     c: Any = node[kind] or {}
@@ -47,9 +59,8 @@ def read(spark: SparkSession, node: dict, doc: dict, resources: Resources) -> Fl
         raise ConfigError(f"input '{kind}' needs a stream or isn't supported")
     if node.get("processors"):
         flow = run_chain(flow, node["processors"], resources)
-    if b := node.get("batching") or (c.get("batching") if isinstance(c, dict) else None):
-        flow = batching(flow, int(b.get("count", 0)), b.get("check"))
-        flow = run_chain(flow, b.get("processors") or [], resources)
+    if b := policy_of(node):
+        flow = batched(flow, b, resources)
     return flow
 
 
@@ -83,12 +94,16 @@ def sink(node: dict, doc: dict, resources: Resources) -> outputs.Output:
         out = lambda flow: outputs.kafka_writer(flow, c).save()
     else:
         raise ConfigError(f"output '{kind}' is not supported in a batch run")
+    if b := policy_of(node):
+        write = out
+        out = lambda flow: write(batched(flow, b, resources))
     return outputs.with_processors(out, node["processors"], resources) if node.get("processors") else out
 
 
 def run(spark: SparkSession, doc: dict, functions: dict | None = None) -> None:
     resources = resources_of(doc, functions)
-    flow = run_chain(read(spark, doc.get("input") or {"stdin": {}}, doc, resources), (doc.get("pipeline") or {}).get("processors") or [], resources)
+    flow = buffered(read(spark, doc.get("input") or {"stdin": {}}, doc, resources), doc.get("buffer") or {}, resources)
+    flow = run_chain(flow, (doc.get("pipeline") or {}).get("processors") or [], resources)
     if (doc.get("error_handling") or {}).get("strict"):
         flow = outputs.strict(flow)
     sink(doc.get("output") or {"stdout": {}}, doc, resources)(flow)
