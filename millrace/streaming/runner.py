@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from millrace.operators.batches import Resources
+from millrace.operators.batches import ConfigError, Resources
 from millrace.operators.flow import Flow, from_content, key_column, run_chain
 from millrace.sources.outputs import Output, retry
 
@@ -25,9 +26,26 @@ def lines(spark: SparkSession, folder: str, files_a_trigger: int | None = None)
     return reader.load(folder)
 
 
+def kinds(node: Any, resources: Resources) -> set[str]:
+    """The processors a chain names at any depth, through resources too."""
+    if isinstance(node, list):
+        return set().union(*(kinds(x, resources) for x in node))
+    if not isinstance(node, dict):
+        return set()
+    found = set(node).union(*(kinds(x, resources) for x in node.values()))
+    label = node.get("resource")
+    if isinstance(label, str) and label in resources.processors:
+        rest = Resources({k: v for k, v in resources.processors.items() if k != label}, resources.caches, resources.rate_limits, resources.functions)
+        found |= kinds(resources.processors[label], rest)
+    return found
+
+
 def start(df: DataFrame, make: Callable[[DataFrame], Flow], configs: list[dict], output: Output, checkpoint: str, resources: Resources | None = None, interval: str | None = None, attempts: int = 5) -> StreamingQuery:
     """Start a stream: each micro-batch becomes a flow, runs through the processors and is written, again until it succeeds or
     ``attempts`` are used up. ``interval`` is the trigger; without it what is there is processed and the query ends."""
+    resources = resources or Resources()
+    if "dedupe" in kinds(configs, resources):
+        raise ConfigError("dedupe is not supported in the chain of a stream, where each micro-batch would forget the keys; use dedupe_stream before it")
     write = retry(output, attempts)
 
     def batch(rows: DataFrame, number: int) -> None:
