@@ -1,15 +1,15 @@
 """Exact similarity join of shingle sets: documents link when 100 * intersection >= least * union.
 
-Two sets of which the smaller has n shingles and that link differ in at most (100 - least) * n / least shingles, H of them. Cut the
-hash space into more than H ranges: they agree in full in all but H of them. So each set signs its ranges, sets that share a
-signature may link, and others cannot. Signatures follow size classes (a set signs for its own class and for the one below), are
-combined within each block of documents before they are shuffled, and give stars of candidate links; the components of
-those are families, and no link leaves a family.
+Two sets of which the smaller has n shingles and that link differ in at most (100 - least) * n / least shingles, H of them. Each set
+signs pairs of cells of the hash space such that two sets that link share a signature (``Signatures``). Signatures
+follow size classes (a set signs for its own class and for the one below) and are combined within each block of documents before they are
+shuffled. Sets that share one are candidates; a block and a task hand on a forest of their candidate links, the components
+of all are families, and no link leaves a family.
 
 A family is opened in a token-group matrix: its sets are parted into groups of similar ones (by their least shingle), each group's
 row is the union of its tokens, a query set's overlap with that union bounds its overlap with every member, and only groups whose
 bound reaches the query's need are opened and counted exactly. Large families are cut into blocks; each pair of blocks is a
-task of bounded size. Tasks return stars of true links, not pairs.
+task of bounded size. Tasks return forests of true links, not pairs.
 """
 
 from __future__ import annotations
@@ -19,14 +19,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, materialise, mix64, shingle_hashes, word_hashes
-from millrace.llm.components import components
+from millrace.llm.common import LOWER, discard, materialise, mix64, shingle_hashes, word_hashes
+from millrace.llm.components import components, forest
 from millrace.shipping import ship
 
 _BLOCK_SHINGLES = 1_500_000
+_BLOCK_SIGNATURES = 500_000
+_HELD_LINKS = 200_000
 _SIGNED = np.int64
 
 
@@ -43,7 +45,10 @@ def set_hash(s: np.ndarray) -> int | None:
 
 
 class Signatures:
-    """Signatures of shingle sets for one threshold in percent."""
+    """Signatures of shingle sets for one threshold in percent: partition and enumeration."""
+
+    CELLS = 3
+    SCHEMES = 8
 
     def __init__(self, least: int):
         self.least, self.starts, self.edges = least, [1], {}
@@ -60,25 +65,37 @@ class Signatures:
         return (self.starts[c + 1] - 1) * (100 - self.least) // self.least
 
     def of(self, sorted_set: np.ndarray) -> np.ndarray:
-        """Of two sets that link at most H ranges differ. So if more than H ranges of one of them hold shingles, one of those is equal in
-        both: ranges without shingles need no signature. There are a few more ranges than H + 1, and the rare sets that fill only
-        H of them or fewer share one more signature."""
-        n = len(sorted_set)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(mix64(sorted_set), out=sums[1:])
-        own, out = self.size_class(n), []
+        """Cut the hash space into more than H / 2 parts of three cells. Of two sets that link at most H / 2 parts hold two differences
+        or more; in every other part two of the three cells are equal in both sets, and a signature is such a pair of cells.
+
+        A set's strength is the largest w such that in more than H / 2 parts all pairs hold w shingles or more: one of these parts is among
+        the others, so the sets share a pair of at least w shingles, and the stronger set's w counts for both. Pairs of fewer shingles
+        need no signature. A set of strength 0 also signs in further hash orders until it is strong in one, since two sets that link
+        share a signature in the first order in which one of them is strong; sets that never are share one more signature.
+        """
+        own, out = self.size_class(len(sorted_set)), []
         for c in (own, own - 1):
             if c < 0 or (h := self.most_apart(c)) < 1:
                 continue  # sets of this class link only if they are equal
-            p = (h + 1) * 23 // 20 + 3
-            if p not in self.edges:
-                self.edges[p] = np.array([k * (1 << 64) // p for k in range(1, p)], dtype=np.uint64)
-            at = np.concatenate(([0], np.searchsorted(sorted_set, self.edges[p]), [n]))
-            full = np.flatnonzero(at[1:] > at[:-1])
-            with np.errstate(over="ignore"):
-                out.append(mix64(sums[at[full + 1]] - sums[at[full]] + mix64(full.astype(np.uint64) + np.uint64(c << 32))))
-                if len(full) <= h:
-                    out.append(mix64(np.array([(c << 32) + 0xFFFFFFFF], dtype=np.uint64)))
+            need = h // 2 + 1
+            parts = need + need // 6
+            if parts not in self.edges:
+                self.edges[parts] = np.array([k * (1 << 64) // (self.CELLS * parts) for k in range(1, self.CELLS * parts)], dtype=np.uint64)
+            for scheme in range(self.SCHEMES):
+                s = sorted_set if not scheme else np.sort(mix64(sorted_set ^ np.uint64(scheme * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
+                sums = np.zeros(len(s) + 1, dtype=np.uint64)
+                np.cumsum(mix64(s), out=sums[1:])
+                at = np.concatenate(([0], np.searchsorted(s, self.edges[parts]), [len(s)]))
+                held, cell = np.diff(at).reshape(parts, self.CELLS), (sums[at[1:]] - sums[at[:-1]]).reshape(parts, self.CELLS)
+                held = held.sum(axis=1, keepdims=True) - held  # of the pair that leaves each cell out
+                weakest = held.min(axis=1)
+                strength = int(np.partition(weakest, parts - need)[parts - need])
+                number = np.arange(parts * self.CELLS, dtype=np.uint64).reshape(parts, self.CELLS) + np.uint64((c << 4 | scheme) << 32)
+                out.append(mix64(cell.sum(axis=1, keepdims=True) - cell + mix64(number))[held >= max(1, strength)])
+                if strength:
+                    break
+            else:
+                out.append(mix64(np.array([(c << 4 | 15) << 32], dtype=np.uint64)))
         return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
@@ -93,62 +110,72 @@ def _stars(keys: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return k[head], m[head], first[other], m[other]
 
 
-def _links(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.empty((0, 2), dtype=_SIGNED)
+_SIGNED_ROWS = "kind byte, at long, x long, y long, z long, text_key long"
+
+
+def _rows(kind: int, x, y, z=None, text_key=None) -> pa.RecordBatch:
+    """``at`` deals the rows out: signatures by themselves, rows that meet no others one by one."""
+    n = len(x)
+    at = x if kind == 1 else np.arange(n)
+    rest = [pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (z, text_key)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, dtype=np.int8)), pa.array(at, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), *rest], names=["kind", "at", "x", "y", "z", "text_key"])
 
 
 def sets_and_signatures(docs: DataFrame, id_col: str, text_col: str, words: int, least: int) -> DataFrame:
-    """One pass: rows (kind, x, y, z). 0: document id, set size, set hash. 1: signature, set hash. 2: candidate link of set hashes."""
+    """One pass: rows (kind, at, x, y, z, text_key). 0: document id, set size, set hash, hash of the text. 1: signature, set hash. 2: candidate
+    link of set hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signatures(least)
+        sigs, seen, load, signed = [], {}, 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            owner = np.repeat(np.array(list(seen), dtype=_SIGNED), [len(s) for s in sigs])
+            key, first, a, b = _stars(np.concatenate(sigs).view(_SIGNED), owner)
+            order = np.argsort(first, kind="stable")  # a set's rows together, which packs well
+            yield _rows(1, key[order], first[order])
+            if len(a):
+                yield _rows(2, *forest(a, b))
 
-        def flush(ids: list, sizes: list, hashes: list, sigs: list, seen: dict) -> Iterator[pa.RecordBatch]:
-            def rows(kind: int, x, y, z) -> pa.RecordBatch:
-                n = len(x)
-                return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, dtype=np.int8)), x if isinstance(x, pa.Array) else pa.array(x), pa.array(y), z if isinstance(z, pa.Array) else pa.array(z)], names=["kind", "x", "y", "z"])
-
-            yield rows(0, pa.array(ids, pa.int64()), np.array(sizes, dtype=_SIGNED), pa.array(hashes, pa.int64()))
-            if sigs:
-                owner = np.repeat(np.array(list(seen), dtype=_SIGNED), [len(s) for s in sigs])
-                key, first, a, b = _stars(np.concatenate(sigs).view(_SIGNED), owner)
-                order = np.argsort(first, kind="stable")  # a set's rows together, which packs well
-                key, first = key[order], first[order]
-                yield rows(1, key, first, np.zeros(len(key), dtype=_SIGNED))
-                pairs = _links(a, b)
-                yield rows(2, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), dtype=_SIGNED))
-
-        ids, sizes, hashes, sigs, seen, load = [], [], [], [], {}, 0
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, sizes, hashes = batch.column(0).to_pylist(), [], []
+            for t in batch.column(1).to_pylist():
                 s = shingle_set(t, words)
                 h = set_hash(s)
-                ids.append(i)
                 sizes.append(len(s))
                 hashes.append(h)
                 if h is not None and h not in seen:
                     seen[h] = True
                     sigs.append(sign.of(s))
                     load += len(s)
-            if load > _BLOCK_SHINGLES:
-                yield from flush(ids, sizes, hashes, sigs, seen)
-                ids, sizes, hashes, sigs, seen, load = [], [], [], [], {}, 0
-        if ids:
-            yield from flush(ids, sizes, hashes, sigs, seen)
+                    signed += len(sigs[-1])
+                    if load > _BLOCK_SHINGLES or signed > _BLOCK_SIGNATURES:
+                        yield from flush()
+                        sigs, seen, load, signed = [], {}, 0, 0
+            yield _rows(0, ids, sizes, hashes, batch.column(2).to_pylist())
+        if sigs:
+            yield from flush()
+
+    return docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].cast("string").alias("t"), _text_key(docs[text_col])).mapInArrow(run, _SIGNED_ROWS)
+
 
-    return docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].cast("string").alias("t")).mapInArrow(run, "kind byte, x long, y long, z long")
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("text_key")
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (x, y): those of signatures become links from the first set of each signature to its others, the rest passes."""
+    """Rows sorted by (at, y): those of signatures become a forest of the links from the first set of each signature to its others, the rest
+    passes. What is held is bounded: a forest that grows beyond that goes out."""
     last, first = None, None
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    load = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         met = batch.column(0).to_numpy() == 1
         if not met.all():
             yield batch.filter(pa.array(~met))
-        key, member = (batch.column(k).to_numpy(zero_copy_only=False)[met].astype(_SIGNED) for k in (1, 2))
+        key, member = (batch.column(k).to_numpy(zero_copy_only=False)[met].astype(_SIGNED) for k in (2, 3))
         if not len(key):
             continue
         head = np.ones(len(key), dtype=bool)
@@ -160,10 +187,17 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lead[:end] = first
         last, first = key[-1], lead[-1]
         other = lead != member
-        pairs = _links(lead[other], member[other])
-        if len(pairs):
-            n = len(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, dtype=np.int8)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.zeros(n, dtype=_SIGNED))], names=["kind", "x", "y", "z"])
+        if other.any():
+            held.append((lead[other], member[other]))
+            load += len(held[-1][0])
+        if load > _HELD_LINKS:
+            held = [forest(*(np.concatenate(x) for x in zip(*held)))]
+            load = len(held[0][0])
+            if load > _HELD_LINKS // 2:
+                yield _rows(2, *held[0])
+                held, load = [], 0
+    if held:
+        yield _rows(2, *forest(*(np.concatenate(x) for x in zip(*held))))
 
 
 class TokenGroupMatrix:
@@ -237,7 +271,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed, as they are shuffled."""
     pack = zstandard.ZstdCompressor(level=3)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack.compress((t or "").encode("utf-8", "replace")) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack.compress((t or "").encode("utf-8", "replace")) for t in b.column(1).to_pylist()], pa.binary()), b.column(2)], names=["doc_id", "text", "text_key"])
 
 
 def _open(words: int, least: int):
@@ -274,30 +308,39 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_shingles and component_id (the least id reachable by links, its own included) of every row.
 
     A null text, or one without words, has an empty set and links with nothing; equal sets are one node, so copies cost one row each;
-    repeated ids keep a row each; a set whose ids are all null links with
-    nothing. ``task_sets`` and
-    ``task_shingles`` bound what one task opens at once; larger families are cut into blocks that all meet pair by pair.
+    repeated ids keep a row each; rows with a null id link like others, and their component is null only where no id is in it.
+    ``task_sets`` and ``task_shingles`` bound what one task opens at once; larger families are cut into blocks that all meet pair by pair.
     """
     spark = docs.sparkSession
     ship(spark)
     signed = sets_and_signatures(docs, id_col, text_col, words, least)
-    found = materialise(signed.repartition("x").sortWithinPartitions("x", "y").mapInArrow(_meet, signed.schema), "sets")
-    sets = found.filter("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), F.col("z").alias("hash"))
+    found = materialise(signed.repartition("at").sortWithinPartitions("at", "y").mapInArrow(_meet, _SIGNED_ROWS), "sets")
+    sets = found.filter("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), F.col("z").alias("hash"), "text_key")
     families = components(found.filter("kind = 2").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    nodes = sets.filter("hash is not null").groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
-    members = materialise(families.join(nodes, families.node == nodes.hash).select("label", "hash", "doc_id", "n"), "members")
+    # the row whose text stands for a set: the least id, and any text of it that gives the set
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    nodes = sets.filter("hash is not null").groupBy("hash").agg(first.alias("row"), F.min("n_shingles").alias("n")).select("hash", F.col("row.doc_id").alias("doc_id"), F.col("row.text_key").alias("text_key"), "n")
+    members = materialise(families.join(nodes, families.node == nodes.hash).select("label", "hash", "doc_id", "text_key", "n"), "members")
+    discard(families)
     weight = members.groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     blocks = F.greatest(F.ceil(F.col("m") / F.lit(task_sets)), F.ceil(F.col("w") / F.lit(task_shingles))).cast("int")
     large = weight.select("label", blocks.alias("blocks"))
     own = F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int")
     tasks = members.join(large, "label").withColumn("own", own)
     other = F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))).alias("other")
-    tasks = tasks.select("label", "hash", "doc_id", "own", other).select(F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("task"), F.when(F.col("own") == F.col("other"), F.lit(0)).otherwise(F.when(F.col("own") < F.col("other"), F.lit(0)).otherwise(F.lit(1))).alias("side"), "hash", "doc_id")
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(_packed, "doc_id long, text binary")
-    links = tasks.join(texts.hint("merge"), "doc_id").select("task", "side", "hash", "text").repartition("task").sortWithinPartitions("task", "hash").mapInArrow(_open(words, least), "a long, b long")
-    joined = components(materialise(links, "joined"))
+    tasks = tasks.select("label", "hash", "doc_id", "text_key", "own", other)
+    side = F.when(F.col("own") > F.col("other"), F.lit(1)).otherwise(F.lit(0)).alias("side")
+    tasks = tasks.select(F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("task"), side, "hash", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_key")
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), _text_key(docs[text_col])).mapInArrow(_packed, "doc_id long, text binary, text_key long")
+    texts = texts.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_key", "text")
+    opened = tasks.join(texts.hint("merge"), ["id", "no_id", "text_key"]).select("task", "side", "hash", "text")
+    links = materialise(opened.repartition("task").sortWithinPartitions("task", "hash").mapInArrow(_open(words, least), "a long, b long"), "joined")
+    discard(members)
+    joined = components(links)
+    discard(links)
     named = nodes.join(joined, nodes.hash == joined.node, "left").select("hash", "doc_id", F.coalesce("label", "hash").alias("label"))
     named = materialise(named, "named")
+    discard(joined)
     least_id = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     classes = named.join(least_id, "label").select(F.col("hash").alias("of"), "component_id")
     out = sets.join(classes, sets.hash == classes.of, "left")

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm.components import components
 from millrace.llm import fingerprints, importance_sampling, jaccard_join, language_id, mixing_model, quality_rules, sentencepiece_codec, source_mixing, suffix_dedup, url_filter
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -228,11 +229,58 @@ def test_jaccard_join(spark, docs, nothing, n, least, block):
         assert sorted(r.doc_id for r in jaccard_join.one_of_each_group(docs).filter("text is not null and doc_id is not null").collect() if r.text == BASE) == [5, 5]
 
 
+def test_jaccard_join_reaches_through_rows_without_ids(spark):
+    w = long_text(21, 200).split()
+    a, b, c = " ".join(w[:100]), " ".join(w[4:104]), " ".join(w[8:108])
+    rows = [(1, a), (None, b), (3, c), (None, c), (None, "alone"), (None, None), (9, None)]
+    out = jaccard_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in out), key=str) == sorted([(1, 1), (None, 1), (3, 1), (None, 1), (None, None), (None, None), (9, 9)], key=str)
+
+
+def test_unlike_texts_with_a_common_phrase_share_no_signature():
+    texts = [f"{long_text(50 + k, 5)} all rights reserved by {long_text(9000 + k, 4)}" for k in range(3000)]
+    notice = "permission is granted to copy this text in whole or in part as long as this notice stays with every copy of it " * 2
+    texts += [f"{long_text(50 + k, 60)} {notice}" for k in range(500)]
+    for n, least in ((3, 90), (5, 80)):
+        sign, met = jaccard_join.Signatures(least), {}
+        for k, t in enumerate(texts):
+            for s in sign.of(jaccard_join.shingle_set(t, n)).tolist():
+                met.setdefault(s, set()).add(k)
+        assert len(set().union(*(m for m in met.values() if len(m) > 1), set())) < 0.02 * len(texts)
+
+
+def test_forests_join_what_links_join():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 60, 50), rng.integers(0, 60, 50)
+    least, other = jaccard_join.forest(a, b)
+
+    def groups(links):
+        of = {k: {k} for k in range(60)}
+        for x, y in links:
+            both = of[x] | of[y]
+            for k in both:
+                of[k] = both
+        return {k: min(g) for k, g in of.items()}
+
+    plain = groups(zip(a.tolist(), b.tolist()))
+    assert groups(zip(least.tolist(), other.tolist())) == plain and len(other) == sum(k != low for k, low in plain.items())
+    assert all(plain[k] == low for low, k in zip(least.tolist(), other.tolist()))
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    rng = np.random.default_rng(6)
+    names = rng.permutation(10**6)[:400].tolist()
+    links = [(names[k], names[k + 1]) for k in range(150)] + [(names[200], names[201 + k]) for k in range(100)] + [(names[350], names[350]), (names[360], None)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: min(names[:151]) for k in names[:151]} | {k: min(names[200:301]) for k in names[200:301]}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_signatures_cover_every_pair_that_links():
     rng = np.random.default_rng(3)
     for least in (60, 80, 90):
         sign = jaccard_join.Signatures(least)
-        for size in (2, 5, 9, 20, 45, 150):
+        for size in (2, 5, 9, 11, 20, 45, 150, 700):
             for _ in range(60):
                 a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
                 drop = rng.integers(0, max(1, size * (100 - least) // 100) + 1)
