@@ -34,9 +34,9 @@ def default_model() -> str:
 
 
 class MergeCodec:
-    """Encoder and decoder of one model file. ``cache_entries`` bounds each of the two generations of remembered pieces."""
+    """Encoder and decoder of one model file. ``cache_bytes`` bounds (about) each of the two generations of remembered pieces."""
 
-    def __init__(self, model: str, cache_entries: int = 160_000):
+    def __init__(self, model: str, cache_bytes: int = 50_000_000):
         import ahocorasick
         import sentencepiece
 
@@ -70,11 +70,13 @@ class MergeCodec:
         self.special = frozenset(self.byte_of) | self.controls | {self.unknown_id}
         if not self.id_of.keys() >= {c for p in self.id_of for c in p}:
             raise ValueError("every character of a token must be a token")
+        self.strange = re.compile(f"[^{''.join(map(re.escape, sorted(p for p in self.id_of if len(p) == 1)))}]")
         self.extra: dict[str, int] = {}
         self.pairs: dict[int, bool] = {}
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
-        self.most = cache_entries
+        self.young: dict[str, str] = {}  # a word behind one mark, without it, to its decimal ids joined by one space
+        self.old: dict[str, str] = {}
+        self.odd: dict[str, str] = {}  # words whose ids decode to something else than a blank and the word
+        self.most, self.load = cache_bytes, 0
 
     def merged(self, text: str) -> list[str]:
         """The merges by definition: the adjacent pair of the highest score first, from the left among equals."""
@@ -155,7 +157,7 @@ class MergeCodec:
     def last_tokens(self, text: str) -> list[int]:
         """Tokens of a piece without runs of marks, from its prefix table."""
         n, known = len(text), self.id_of
-        if not known.keys() >= set(text):
+        if self.strange.search(text):
             # a character outside the vocabulary is a token of its own, and no token goes across it
             out, start = [], 0
             for at, char in enumerate(text):
@@ -182,11 +184,6 @@ class MergeCodec:
             n -= sizes[token]
         return out[::-1]
 
-    def _chunk(self, chunk: str) -> tuple[str, int, str]:
-        """Of a run of marks and what follows it: decimal ids joined by one space, their number, the text they decode to."""
-        ids = self.chunk_ids(chunk)
-        return " ".join(map(self.decimal.__getitem__, ids)), len(ids), self.surface(ids)
-
     def chunk_ids(self, chunk: str) -> list[int]:
         marks = len(chunk) - len(chunk.lstrip(MARK)) if chunk[1:2] == MARK else 1
         tokens = self.last_tokens(chunk[marks - 1 :])
@@ -239,30 +236,54 @@ class MergeCodec:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text), piece by piece with a bounded cache."""
-        said, count, out = self._whole(text)
-        return count, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(out[1:].encode()).hexdigest()
+        said, out = self._whole(text)
+        return said.count(" ") + 1, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(out[1:].encode()).hexdigest()
 
     def encode_cached(self, text: str) -> np.ndarray:
         """The ids of ``encode``, by way of the cache."""
         return np.array(self._whole(text)[0].split(" "), dtype=np.int32)
 
-    def _whole(self, text: str) -> tuple[str, int, str]:
-        """(decimal ids joined by one space, their number, the text they decode to with its mark in front)."""
-        cut = self.chunks(text)
-        found = list(map(self.young.get, cut))
+    def _whole(self, text: str) -> tuple[str, str]:
+        """(decimal ids joined by one space, the text they decode to with its mark in front)."""
+        if not text:
+            return str(self.end_id), ""
+        if MARK in text:
+            text = text.replace(MARK, " ")
+        words = text.split(" ")
+        found = list(map(self.young.get, words))
         if None in found:
             for k, entry in enumerate(found):
                 if entry is None:
-                    found[k] = self._remembered(cut[k])
-        said, counts, decoded = zip(*found) if found else ((), (), ())
-        return " ".join((*said, str(self.end_id))), 1 + sum(counts), "".join(decoded)
-
-    def _remembered(self, chunk: str) -> tuple[str, int, str]:
-        entry = self.young.get(chunk) or self.old.get(chunk) or self._chunk(chunk)
-        if len(chunk) <= 64:
-            if len(self.young) >= self.most:
-                self.old, self.young = self.young, {}
-            self.young[chunk] = entry
+                    found[k] = self._remembered(words[k])
+        if "" in words:  # runs of marks are merged with what follows them
+            return self._with_runs(text)
+        shown = words if self.odd.keys().isdisjoint(words) else [self.odd.get(w, w) for w in words]
+        return f"{' '.join(found)} {self.end_id}", " " + " ".join(shown)
+
+    def _with_runs(self, text: str) -> tuple[str, str]:
+        said, shown = [], []
+        for chunk in self.chunks(text):
+            if chunk.count(MARK) == 1 and len(chunk) > 1:
+                said.append(self.young.get(chunk[1:]) or self._remembered(chunk[1:]))
+                shown.append(" " + self.odd.get(chunk[1:], chunk[1:]))
+            else:
+                ids = self.chunk_ids(chunk)
+                said.append(" ".join(map(self.decimal.__getitem__, ids)))
+                shown.append(self.surface(ids))
+        return f"{' '.join(said)} {self.end_id}", "".join(shown)
+
+    def _remembered(self, word: str) -> str:
+        entry = self.old.get(word)
+        if entry is None:
+            ids = self.chunk_ids(MARK + word)
+            entry = " ".join(map(self.decimal.__getitem__, ids))
+            if (shown := self.surface(ids)) != " " + word:
+                self.odd[word] = shown[1:]
+        if len(word) <= 64:
+            if self.load >= self.most:
+                self.old, self.young, self.load = self.young, {}, 0
+            self.young[word] = entry
+            self.load += 200 + 2 * len(word) + len(entry)
         return entry
 
 
