@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +71,38 @@ def crc_fold(column: str, n: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n)), F.lit(0))
 
 
+def share_of(share: float, *columns: Column | str) -> Column:
+    """Whether a row is in a share (0 to 1) of all, by a 64-bit hash of the columns: shares far below a millionth keep their meaning."""
+    return F.xxhash64(*columns) <= share_bound(share)
+
+
+def share_bound(share: float) -> Column:
+    """The highest 64-bit hash in a share of all."""
+    return F.lit(max(-(1 << 63), min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))))
+
+
+def in_slices(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 512) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` over the batches cut into slices of so many rows, so that what it makes of long texts at once stays small. A Python worker lives on
+    from stage to stage: at the end what it has freed goes back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where its library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A fixed 64-bit finaliser, the same in every process."""
     with np.errstate(over="ignore"):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise
+from millrace.llm.common import in_slices, materialise, share_of
 from millrace.shipping import ship
 
 BUCKETS = 1 << 14
@@ -37,8 +37,8 @@ def log_ratios(docs: DataFrame, target: DataFrame, id_col: str, text_col: str, t
     ship(docs.sparkSession)
     ids = target.select(F.col("doc_id").alias("_good")).filter("_good is not null").distinct()
     total = ids.count()
-    share = min(1.0, target_rows / max(1, total))
-    ids = ids.filter(F.pmod(F.xxhash64("_good"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))  # about target_rows at most
+    if total > target_rows:
+        ids = ids.filter(share_of(target_rows / total, "_good"))  # about target_rows at most
     marked = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("t")).join(F.broadcast(ids), F.col("_id") == F.col("_good"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +52,7 @@ def log_ratios(docs: DataFrame, target: DataFrame, id_col: str, text_col: str, t
         at = np.flatnonzero(every)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(every[at]), pa.array(good[at])], names=["b", "n", "g"])
 
-    found = marked.select(F.col("_good").isNotNull().alias("g"), "t").mapInArrow(run, "b long, n long, g long").groupBy("b").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).collect()
+    found = marked.select(F.col("_good").isNotNull().alias("g"), "t").mapInArrow(in_slices(run), "b long, n long, g long").groupBy("b").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).collect()
     every, good = np.full(BUCKETS, 0.5), np.full(BUCKETS, 0.5)
     for r in found:
         every[r.b] += r.n
@@ -74,7 +74,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str) -> Da
                 w.append(float(c @ ratios))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(w, pa.float64()), pa.array([x / k if k else None for x, k in zip(w, n)], pa.float64())], names=["doc_id", "n_grams", "log_weight", "mean_weight"])
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("t")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, n_grams long, log_weight double, mean_weight double")
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("t")).mapInArrow(in_slices(run), f"doc_id {dict(docs.dtypes)[id_col]}, n_grams long, log_weight double, mean_weight double")
 
 
 def cut_for_top(keys: DataFrame, k: int, small: int = 4096) -> float | None:
@@ -98,17 +98,26 @@ def cut_for_top(keys: DataFrame, k: int, small: int = 4096) -> float | None:
             return low
 
 
-def sample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.85, temperature: float = 0.02, seed: str = "gumbel", **options) -> DataFrame:
+def sample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.85, seed: str = "gumbel", **options) -> DataFrame:
     """doc_id, n_grams, log_weight, mean_weight, key and selected of every row.
 
-    ``key`` is mean_weight / temperature plus Gumbel noise from a seeded hash of the id, so reruns agree; the ``keep`` share of the rows
-    with the largest keys is selected. Texts without n-grams (null, empty, one byte) have a null key and aren't selected; equal keys at the cut
-    are all selected; an empty table gives an empty one; without target text all weights are 0.
+    ``key`` is log_weight, the log of p(text | target) / p(text | all), plus Gumbel noise from a seeded hash of the id (of a null id: of the
+    row's place), so reruns agree; exactly round(``keep`` * rows) rows with the largest keys are selected, fewer only where fewer have a
+    key: texts without n-grams (null, empty, one byte) have a null key and aren't selected. Of equal keys at the cut those of the
+    lowest place in the table are selected; an empty table gives an empty one; without target text all weights are 0.
     """
     ratios = log_ratios(docs, target, id_col, text_col, **options)
-    uniform = (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    rows = materialise(weigh(docs, ratios, id_col, text_col).withColumn("key", F.col("mean_weight") / F.lit(temperature) - F.log(-F.log(uniform))), "weights")
-    n = rows.count()
-    cut = cut_for_top(rows, round(keep * n))
-    chosen = F.lit(False) if cut is None else F.coalesce(F.col("key") >= F.lit(cut), F.lit(False))
-    return rows.withColumn("selected", chosen)
+    weighed = weigh(docs, ratios, id_col, text_col).withColumn("_place", F.monotonically_increasing_id())
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("_place").cast("string")))
+    uniform = (F.pmod(F.xxhash64(name, F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    rows = materialise(weighed.withColumn("key", F.when(F.col("n_grams") > 0, F.col("log_weight") - F.log(-F.log(uniform)))), "weights")
+    k = round(keep * rows.count())
+    cut = cut_for_top(rows, k)
+    if cut is None:
+        return rows.withColumn("selected", F.lit(False)).drop("_place")
+    above, ties = rows.agg(F.coalesce(F.sum((F.col("key") > cut).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("key") == cut).cast("long")), F.lit(0))).first()
+    chosen = F.col("key") >= F.lit(cut)
+    if above + ties > k:
+        places = rows.filter(F.col("key") == cut).select((-F.col("_place")).alias("key"))
+        chosen = (F.col("key") > F.lit(cut)) | (F.col("key") == F.lit(cut)) & (-F.col("_place") >= F.lit(cut_for_top(places, k - above)))
+    return rows.withColumn("selected", F.coalesce(chosen, F.lit(False))).drop("_place")

@@ -9,7 +9,8 @@ of all are families, and no link leaves a family.
 A family is opened in a token-group matrix: its sets are parted into groups of similar ones (by their least shingle), each group's
 row is the union of its tokens, a query set's overlap with that union bounds its overlap with every member, and only groups whose
 bound reaches the query's need are opened and counted exactly. Large families are cut into blocks; each pair of blocks is a
-task of bounded size. Tasks return forests of true links, not pairs.
+task of bounded size; before that, shingles common in the family are set aside and it is sought anew for families in what is left.
+Tasks return forests of true links, not pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, discard, materialise, mix64, shingle_hashes, word_hashes
+from millrace.llm.common import LOWER, discard, in_slices, materialise, mix64, shingle_hashes, word_hashes
 from millrace.llm.components import components, forest
 from millrace.shipping import ship
 
@@ -64,7 +65,7 @@ class Signatures:
             self.starts.append(self.starts[-1] * 100 // self.least + 1)
         return (self.starts[c + 1] - 1) * (100 - self.least) // self.least
 
-    def of(self, sorted_set: np.ndarray) -> np.ndarray:
+    def of(self, sorted_set: np.ndarray, size: int | None = None) -> np.ndarray:
         """Cut the hash space into more than H / 2 parts of three cells. Of two sets that link at most H / 2 parts hold two differences
         or more; in every other part two of the three cells are equal in both sets, and a signature is such a pair of cells.
 
@@ -72,8 +73,11 @@ class Signatures:
         the others, so the sets share a pair of at least w shingles, and the stronger set's w counts for both. Pairs of fewer shingles
         need no signature. A set of strength 0 also signs in further hash orders until it is strong in one, since two sets that link
         share a signature in the first order in which one of them is strong; sets that never are share one more signature.
+
+        ``size``: that of the whole set, where only those of its shingles are given that lie outside some fixed set: what two sets hold
+        outside it differs in at most H shingles as well.
         """
-        own, out = self.size_class(len(sorted_set)), []
+        own, out = self.size_class(len(sorted_set) if size is None else size), []
         for c in (own, own - 1):
             if c < 0 or (h := self.most_apart(c)) < 1:
                 continue  # sets of this class link only if they are equal
@@ -156,7 +160,7 @@ def sets_and_signatures(docs: DataFrame, id_col: str, text_col: str, words: int,
         if sigs:
             yield from flush()
 
-    return docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].cast("string").alias("t"), _text_key(docs[text_col])).mapInArrow(run, _SIGNED_ROWS)
+    return docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].cast("string").alias("t"), _text_key(docs[text_col])).mapInArrow(in_slices(run), _SIGNED_ROWS)
 
 
 def _text_key(text: Column) -> Column:
@@ -209,10 +213,16 @@ class TokenGroupMatrix:
         every = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
         tokens, counts = np.unique(every, return_counts=True)
         self.tokens = tokens[counts > 1]  # a token of one set is in no intersection
-        self.columns = [np.searchsorted(self.tokens, s[np.isin(s, self.tokens, assume_unique=True)]) for s in sets]
+        self.columns = [self._known(s) for s in sets]
         order = sorted(range(len(sets)), key=lambda i: (self.columns[i][:3].tolist(), self.sizes[i]))
         self.groups = [np.array(order[k : k + group_size]) for k in range(0, len(order), group_size)]
 
+    def _known(self, s: np.ndarray) -> np.ndarray:
+        """The numbers of the set's tokens that other sets have too."""
+        at = np.searchsorted(self.tokens, s)
+        at[at == len(self.tokens)] = 0
+        return at[self.tokens[at] == s] if len(self.tokens) else at[:0]
+
     def rows(self, which, low: int, high: int) -> np.ndarray:
         out = np.zeros((len(which), high - low), dtype=np.float32)
         for r, i in enumerate(which):
@@ -274,6 +284,45 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack.compress((t or "").encode("utf-8", "replace")) for t in b.column(1).to_pylist()], pa.binary()), b.column(2)], names=["doc_id", "text", "text_key"])
 
 
+def _refined(members: DataFrame, weight: DataFrame, texts: DataFrame, words: int, least: int, common: float = 0.05) -> DataFrame:
+    """The members of the families that don't fit one task, in smaller families: shingles that more than ``common`` of a family's sets hold
+    are left out, the sets sign what remains, and the components of the new candidates are families. So texts that only share
+    passages of many texts part, and the pairs of blocks of a large family stay few. Members without a candidate go."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for label, h, n, t in (row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(4)))):
+            s = shingle_set(unpack.decompress(t).decode(), words)
+            if set_hash(s) == h:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), label)), pa.array(np.full(len(s), h)), pa.array(np.full(len(s), n)), pa.array(s.view(_SIGNED))], names=["label", "hash", "n", "token"])
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = Signatures(least)
+        for b in batches:
+            sigs, owners = [], []
+            for label, h, n, rest in zip(*(b.column(k).to_pylist() for k in range(4))):
+                own = sign.of(np.unique(np.array(rest or [], dtype=_SIGNED).view(np.uint64)), n)
+                sigs.append(mix64(own ^ mix64(np.array([label], dtype=_SIGNED).view(np.uint64))))
+                owners.append(np.full(len(own), h))
+            if sigs:
+                yield _rows(1, np.concatenate(sigs).view(_SIGNED), np.concatenate(owners))
+
+    wide = members.join(weight.filter("blocks > 1").select("label", "m"), "label")
+    keyed = wide.select("label", "hash", "n", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_key")
+    with_text = keyed.join(texts.hint("merge"), ["id", "no_id", "text_key"]).select("label", "hash", "n", "text")
+    held = materialise(with_text.mapInArrow(in_slices(tokens), "label long, hash long, n long, token long"), "tokens")
+    often = held.groupBy("label", "token").agg(F.count("*").alias("c")).join(weight, "label").filter(F.col("c") > F.col("m") * F.lit(common)).select("label", "token")
+    rest = held.join(often, ["label", "token"], "left_anti").groupBy("label", "hash").agg(F.collect_list("token").alias("rest"))
+    rows = wide.select("label", "hash", "n").join(rest, ["label", "hash"], "left").mapInArrow(in_slices(signed), _SIGNED_ROWS)
+    found = materialise(rows.repartition("at").sortWithinPartitions("at", "y").mapInArrow(in_slices(_meet, 1 << 16), _SIGNED_ROWS), "resigned")
+    finer = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    parted = wide.drop("label", "m").join(finer, wide.hash == finer.node).select("label", "hash", "doc_id", "text_key", "n")
+    out = materialise(members.join(weight.filter("blocks = 1").select("label"), "label").select(*members.columns).unionByName(parted), "members")
+    for table in (held, found, finer):
+        discard(table)
+    return out
+
+
 def _open(words: int, least: int):
     """Rows (task, side, set, text) sorted by task: the links found in each task."""
 
@@ -314,7 +363,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     ship(spark)
     signed = sets_and_signatures(docs, id_col, text_col, words, least)
-    found = materialise(signed.repartition("at").sortWithinPartitions("at", "y").mapInArrow(_meet, _SIGNED_ROWS), "sets")
+    found = materialise(signed.repartition("at").sortWithinPartitions("at", "y").mapInArrow(in_slices(_meet, 1 << 16), _SIGNED_ROWS), "sets")
     sets = found.filter("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), F.col("z").alias("hash"), "text_key")
     families = components(found.filter("kind = 2").select(F.col("x").alias("a"), F.col("y").alias("b")))
     # the row whose text stands for a set: the least id, and any text of it that gives the set
@@ -322,19 +371,22 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = sets.filter("hash is not null").groupBy("hash").agg(first.alias("row"), F.min("n_shingles").alias("n")).select("hash", F.col("row.doc_id").alias("doc_id"), F.col("row.text_key").alias("text_key"), "n")
     members = materialise(families.join(nodes, families.node == nodes.hash).select("label", "hash", "doc_id", "text_key", "n"), "members")
     discard(families)
-    weight = members.groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), _text_key(docs[text_col])).mapInArrow(in_slices(_packed), "doc_id long, text binary, text_key long")
+    texts = texts.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_key", "text")
     blocks = F.greatest(F.ceil(F.col("m") / F.lit(task_sets)), F.ceil(F.col("w") / F.lit(task_shingles))).cast("int")
-    large = weight.select("label", blocks.alias("blocks"))
+    weigh = lambda df: df.groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("w")).withColumn("blocks", blocks)
+    if weigh(members).filter("blocks > 1").limit(1).count():
+        coarse, members = members, _refined(members, weigh(members), texts, words, least)
+        discard(coarse)
+    large = weigh(members).select("label", "blocks")
     own = F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int")
     tasks = members.join(large, "label").withColumn("own", own)
     other = F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))).alias("other")
     tasks = tasks.select("label", "hash", "doc_id", "text_key", "own", other)
     side = F.when(F.col("own") > F.col("other"), F.lit(1)).otherwise(F.lit(0)).alias("side")
     tasks = tasks.select(F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("task"), side, "hash", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_key")
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), _text_key(docs[text_col])).mapInArrow(_packed, "doc_id long, text binary, text_key long")
-    texts = texts.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_key", "text")
     opened = tasks.join(texts.hint("merge"), ["id", "no_id", "text_key"]).select("task", "side", "hash", "text")
-    links = materialise(opened.repartition("task").sortWithinPartitions("task", "hash").mapInArrow(_open(words, least), "a long, b long"), "joined")
+    links = materialise(opened.repartition("task").sortWithinPartitions("task", "hash").mapInArrow(in_slices(_open(words, least)), "a long, b long"), "joined")
     discard(members)
     joined = components(links)
     discard(links)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shingle_hashes, word_bounds, word_hashes
+from millrace.llm.common import in_slices, shingle_hashes, word_bounds, word_hashes
 from millrace.shipping import ship
 
 WINDOW = 8
@@ -96,7 +96,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             found = np.array([measurements(t or "") for t in b.column(1).to_pylist()], dtype=np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[:, k]) for k in range(len(MEASURES)))], names=["doc_id", *MEASURES])
 
-    out = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("t")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+    out = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("t")).mapInArrow(in_slices(run), f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
     mask = F.lit(0)
     for k, (_, condition) in enumerate(RULES):
         mask = mask.bitwiseOR(F.when(F.expr(condition), F.lit(1 << k)).otherwise(F.lit(0)))

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from millrace.llm.common import in_slices
 from millrace.shipping import ship
 
 MARK = "▁"
@@ -328,7 +329,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.encode_cached(t or "") for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(in_slices(run), f"doc_id {kind}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -341,7 +342,7 @@ def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if i is None else c.decode(i) for i in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(in_slices(run), f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
@@ -359,4 +360,4 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(x) if found else [], k) for x, k in zip(zip(*found) if found else ((), (), ()), (pa.int64(), pa.string(), pa.string())))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(in_slices(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

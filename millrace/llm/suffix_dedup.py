@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import BASE, BASE2, materialise, mix64, prefix_sums
+from millrace.llm.common import BASE, BASE2, in_slices, materialise, mix64, prefix_sums
 from millrace.shipping import ship
 
 LENGTH = 100
@@ -260,14 +260,14 @@ def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc, v, runs): the removed byte runs [s, e) of the documents that have any; v is the CRC-32 of the text, which tells rows of one id apart."""
     ship(docs.sparkSession)
     keyed = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID)).alias("doc"), docs[text_col].cast("string").alias("text"))
-    parsed = keyed.mapInArrow(_parse(length, trigger), _PARSED)
-    ordered = materialise(parsed.repartition("a").sortWithinPartitions("a", "h", "doc", "place").mapInArrow(_order(length), _PARSED), "ordered")
+    parsed = keyed.mapInArrow(in_slices(_parse(length, trigger)), _PARSED)
+    ordered = materialise(parsed.repartition("a").sortWithinPartitions("a", "h", "doc", "place").mapInArrow(in_slices(_order(length), 1 << 16), _PARSED), "ordered")
     open_ = ordered.filter("kind = 2").select("a", "doc", "v", "place")
     counts = open_.groupBy("a").agg(F.count("*").alias("n"))
     wanted = open_.join(counts, "a").groupBy("doc", "v").agg(F.collect_list(F.struct("a", "place", "n")).alias("wanted"))
     texts = keyed.withColumn("v", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    contents = wanted.join(texts, ["doc", "v"]).select("doc", "v", "text", "wanted").mapInArrow(_contents(length, most_phrases), "key long, doc long, v long, start long, bytes binary")
-    sorted_ = contents.repartition("key").sortWithinPartitions("key").mapInArrow(_suffixes(length), _PARSED)
+    contents = wanted.join(texts, ["doc", "v"]).select("doc", "v", "text", "wanted").mapInArrow(in_slices(_contents(length, most_phrases)), "key long, doc long, v long, start long, bytes binary")
+    sorted_ = contents.repartition("key").sortWithinPartitions("key").mapInArrow(in_slices(_suffixes(length), 1 << 13), _PARSED)
     runs = ordered.filter("kind = 0").unionByName(sorted_).select("doc", "v", F.struct(F.col("h").alias("s"), F.col("place").alias("e")).alias("run"))
     return runs.groupBy("doc", "v").agg(F.collect_list("run").alias("runs"))
 
@@ -315,4 +315,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array([len(x) for x in raws], pa.int64()), pa.array([x[1] for x in cut], pa.int64()), pa.array([x[2] for x in cut], pa.int64()), pa.array([x[0] for x in cut], pa.binary()), pa.array([x[0].decode(errors="ignore") for x in cut], pa.string())], names=[*own, *names])
 
     fields = [T.StructField(n, k) for n, k in zip(names, (T.LongType(), T.LongType(), T.LongType(), T.BinaryType(), T.StringType()))]
-    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+    return joined.mapInArrow(in_slices(run), T.StructType([*docs.schema.fields, *fields]))
