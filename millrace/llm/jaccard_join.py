@@ -3,7 +3,7 @@
 Two sets of which the smaller has n shingles and that link differ in at most (100 - least) * n / least shingles, H of them. Each set
 signs pairs of cells of the hash space such that two sets that link share a signature (``Signatures``). Signatures
 follow size classes (a set signs for its own class and for the one below) and are combined within each block of documents before they are
-shuffled. Sets that share one are candidates; a block and a task hand on a forest of their candidate links, the components
+shuffled; shingles of very many texts are left out of them as far as that is exact. Sets that share one are candidates; a block and a task hand on a forest of their candidate links, the components
 of all are families, and no link leaves a family.
 
 A family is opened in a token-group matrix: its sets are parted into groups of similar ones (by their least shingle), each group's
@@ -30,6 +30,7 @@ from millrace.shipping import ship
 _BLOCK_SHINGLES = 1_500_000
 _BLOCK_SIGNATURES = 500_000
 _HELD_LINKS = 200_000
+_SLOTS = 1 << 20
 _SIGNED = np.int64
 
 
@@ -65,7 +66,7 @@ class Signatures:
             self.starts.append(self.starts[-1] * 100 // self.least + 1)
         return (self.starts[c + 1] - 1) * (100 - self.least) // self.least
 
-    def of(self, sorted_set: np.ndarray, size: int | None = None) -> np.ndarray:
+    def of(self, sorted_set: np.ndarray, size: int | None = None, rare: np.ndarray | None = None) -> np.ndarray:
         """Cut the hash space into more than H / 2 parts of three cells. Of two sets that link at most H / 2 parts hold two differences
         or more; in every other part two of the three cells are equal in both sets, and a signature is such a pair of cells.
 
@@ -74,8 +75,9 @@ class Signatures:
         need no signature. A set of strength 0 also signs in further hash orders until it is strong in one, since two sets that link
         share a signature in the first order in which one of them is strong; sets that never are share one more signature.
 
-        ``size``: that of the whole set, where only those of its shingles are given that lie outside some fixed set: what two sets hold
-        outside it differs in at most H shingles as well.
+        What two sets hold outside some fixed set of shingles differs in at most H shingles as well. ``rare``: the part of the set outside
+        the common ones, which is signed first, so that passages of many texts make no candidates; the whole set follows where that part is
+        weak. ``size``: that of the whole set, where only a part is given.
         """
         own, out = self.size_class(len(sorted_set) if size is None else size), []
         for c in (own, own - 1):
@@ -85,8 +87,11 @@ class Signatures:
             parts = need + need // 6
             if parts not in self.edges:
                 self.edges[parts] = np.array([k * (1 << 64) // (self.CELLS * parts) for k in range(1, self.CELLS * parts)], dtype=np.uint64)
-            for scheme in range(self.SCHEMES):
-                s = sorted_set if not scheme else np.sort(mix64(sorted_set ^ np.uint64(scheme * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
+            for scheme in range(0 if rare is not None else 1, self.SCHEMES):
+                if scheme < 2:
+                    s = sorted_set if scheme else rare
+                else:
+                    s = np.sort(mix64(sorted_set ^ np.uint64(scheme * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
                 sums = np.zeros(len(s) + 1, dtype=np.uint64)
                 np.cumsum(mix64(s), out=sums[1:])
                 at = np.concatenate(([0], np.searchsorted(s, self.edges[parts]), [len(s)]))
@@ -125,12 +130,49 @@ def _rows(kind: int, x, y, z=None, text_key=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, dtype=np.int8)), pa.array(at, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), *rest], names=["kind", "at", "x", "y", "z", "text_key"])
 
 
+def common_slots(docs: DataFrame, text_col: str, words: int, times: float = 4.0) -> np.ndarray:
+    """Which of 2**20 slots of shingle hashes are common: those that hold more than ``times`` the mean number of (text, shingle), and a hundred
+    more. Every text counts; tasks send packed counts of all slots, so what is shuffled follows the number of tasks."""
+    pack, cell = zstandard.ZstdCompressor, 1 << 14
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(_SLOTS, dtype=np.uint32)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                np.add.at(found, _slot(shingle_set(t, words)), np.uint32(1))
+        for k in range(0, _SLOTS, cell):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pack(level=1).compress(found[k : k + cell].tobytes())], pa.binary())], names=["cell", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total, unpack = None, None, zstandard.ZstdDecompressor()
+        for k, data in (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            if k != at and at is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(at + np.arange(cell)), pa.array(total)], names=["slot", "n"])
+            part = np.frombuffer(unpack.decompress(data), dtype=np.uint32).astype(np.int64)
+            at, total = k, total + part if k == at else part
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(at + np.arange(cell)), pa.array(total)], names=["slot", "n"])
+
+    cells = docs.select(docs[text_col].cast("string").alias("t")).mapInArrow(in_slices(count), "cell long, counts binary")
+    slots = materialise(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(in_slices(add), "slot long, n long"), "slots")
+    mean = (slots.agg(F.sum("n")).first()[0] or 0) / _SLOTS
+    out = np.zeros(_SLOTS, dtype=bool)
+    out[[r.slot for r in slots.filter(F.col("n") > times * mean + 100).select("slot").collect()]] = True  # at most a share of 1 / times
+    discard(slots)
+    return out
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (mix64(hashes) >> np.uint64(44)).astype(np.int64)
+
+
 def sets_and_signatures(docs: DataFrame, id_col: str, text_col: str, words: int, least: int) -> DataFrame:
     """One pass: rows (kind, at, x, y, z, text_key). 0: document id, set size, set hash, hash of the text. 1: signature, set hash. 2: candidate
     link of set hashes."""
+    common = docs.sparkSession.sparkContext.broadcast(np.packbits(common_slots(docs, text_col, words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign = Signatures(least)
+        sign, often = Signatures(least), np.unpackbits(common.value).view(bool)
         sigs, seen, load, signed = [], {}, 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -150,7 +192,7 @@ def sets_and_signatures(docs: DataFrame, id_col: str, text_col: str, words: int,
                 hashes.append(h)
                 if h is not None and h not in seen:
                     seen[h] = True
-                    sigs.append(sign.of(s))
+                    sigs.append(sign.of(s, rare=s[~often[_slot(s)]]))
                     load += len(s)
                     signed += len(sigs[-1])
                     if load > _BLOCK_SHINGLES or signed > _BLOCK_SIGNATURES:

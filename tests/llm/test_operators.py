@@ -361,6 +361,8 @@ def test_signatures_cover_every_pair_that_links():
                 inter = len(np.intersect1d(a, b))
                 if len(b) and 100 * inter >= least * (len(a) + len(b) - inter) and not np.array_equal(a, b):
                     assert np.intersect1d(sign.of(a), sign.of(b)).size, (least, size, drop)
+                    rare = [x[x % np.uint64(3 + size % 4) != 0] for x in (a, b)]
+                    assert np.intersect1d(sign.of(a, rare=rare[0]), sign.of(b, rare=rare[1])).size, (least, size, drop)
 
 
 def test_fingerprints(spark, docs, nothing):
