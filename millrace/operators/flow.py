@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from millrace.operators import batches
 from millrace.operators.batches import ConfigError, Resources, name_of
-from millrace.plans.columns import Lowering, Scope, Unsupported, Val, compile_mapping
+from millrace.plans.columns import Lowering, Scope, Unsupported, Val, compile_mapping, utc_wall
 from millrace.plans.evaluator import Message
 from millrace.plans.parser import interpolated, parse
 from millrace.shipping import ship
@@ -90,6 +90,7 @@ def _json(kind: T.StructType) -> Column:
         if isinstance(t, T.StructType):
             return F.struct(*(shaped(c.getField(f.name), f.dataType).alias(f.name) for f in sorted(t.fields, key=lambda f: f.name)))
         if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+            c = utc_wall(c) if isinstance(t, T.TimestampType) else c
             return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.regexp_replace(F.date_format(c, ".SSSSSS"), r"\.?0+$", ""), F.lit("Z"))
         return c
 

@@ -43,7 +43,8 @@ class Val:
             object.__setattr__(self, "col", self.col.cast("double"))
             object.__setattr__(self, "type", DOUBLE)
         elif isinstance(self.type, T.TimestampNTZType):
-            object.__setattr__(self, "col", self.col.cast("timestamp"))
+            # a clock without a zone is taken for UTC's, whatever zone the session is in
+            object.__setattr__(self, "col", F.convert_timezone(F.lit("UTC"), F.current_timezone(), self.col).cast("timestamp"))
             object.__setattr__(self, "type", STAMP)
 
 
@@ -648,6 +649,12 @@ def _encode(low, v, scheme):
     raise Unsupported(f"encoding {kind}")
 
 
+def utc_wall(stamp: Column) -> Column:
+    """The clock of UTC at an instant as a timestamp without a zone, whatever zone the session is in."""
+    seconds = (F.unix_micros(stamp).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 _STRFTIME = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "y": "yy", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "j": "DDD", "I": "hh", "p": "a", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "R": "HH:mm", "f": "SSSSSS"}
 
 
@@ -665,7 +672,7 @@ def _strftime(low, v, form, *tz):
             out.append(_STRFTIME[part[1]])
         else:
             out.append("'" + part.replace("'", "''") + "'")
-    return Val(F.date_format(v.col, "".join(out)), STRING, v.err)
+    return Val(F.date_format(utc_wall(v.col), "".join(out)), STRING, v.err)
 
 
 def _java(pattern: str) -> str:
