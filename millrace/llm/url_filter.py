@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise
+from millrace.llm.common import materialise, share_of
 
 #: Fixed rules: (verdict, host and path). A rule fits the host and its subdomains if the path starts with the rule's path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -135,7 +135,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     total, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if 0 < blocked < total:
         share = min(1.0, sample_rows / total)
-        sample = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))) if share < 1 else labelled
+        sample = labelled.filter(share_of(share, "url")) if share < 1 else labelled
         sample = materialise(with_features(sample), "urls")
         base = blocked / total
         suffixes = sample.groupBy("suffix").agg(((F.sum("y") + F.lit(20 * base)) / (F.count("*") + F.lit(20))).alias("f_suffix"))
