@@ -86,37 +86,53 @@ def _bucket(value: Column, bounds: list[int]) -> Column:
     return part(0, len(bounds))
 
 
-def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, rows_a_bucket: int = 4000, most_buckets: int = 1024) -> DataFrame:
+def _dealt(rows: DataFrame, rows_a_bucket: int, most_ranges: int) -> DataFrame:
+    """``rows`` with ``_range`` and ``_bucket``, both ascending with the id (nulls first), equal ids together.
+
+    Ranges lie between quantiles of the ids and are at most ``most_ranges``, as they are part of an expression; each is cut into equal steps of
+    the id, whose number follows the table, so buckets stay near ``rows_a_bucket`` rows at any size where ids are spread evenly inside a range.
+    """
+    n = rows.count()
+    ranges = max(1, min(most_ranges, n // rows_a_bucket))
+    steps = max(1, n // (rows_a_bucket * ranges))
+    quantiles = F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 50_000) if ranges > 1 else F.lit(None)
+    found = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), quantiles.alias("cuts")).first()
+    if found.low is None:
+        return rows.withColumns({"_range": F.lit(0), "_bucket": F.lit(0).cast("long")})
+    cuts = sorted({c for c in found.cuts or [] if c > found.low})
+    edges = [found.low, *cuts, found.high + 1]
+    at = _bucket(F.col("doc_id"), cuts)
+    low, width = (F.get(F.array(*(F.lit(float(x)) for x in xs)), at) for xs in (edges[:-1], [b - a for a, b in zip(edges, edges[1:])]))
+    step = F.least(F.lit(steps - 1), F.floor((F.col("doc_id").cast("double") - low) / width * F.lit(steps))).cast("long") if steps > 1 else F.lit(0).cast("long")
+    known = F.col("doc_id").isNotNull()
+    rows = rows.withColumn("_range", F.when(known, at + F.lit(1)).otherwise(F.lit(0)))
+    return rows.withColumn("_bucket", F.when(known, F.col("_range").cast("long") * F.lit(steps) + step).otherwise(F.lit(0).cast("long")))
+
+
+def _with_heads(rows: DataFrame) -> DataFrame:
+    """``rows`` and, marked by ``_halo``, the first row of each bucket once more in the bucket before it (that of the first in the last)."""
+    one = rows.groupBy("_range", "_bucket").agg(F.min("doc_id").alias("_first"))
+    ends = one.groupBy("_range").agg(F.max("_bucket").alias("_end"))  # a row a range, so few
+    all_ends = Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select(F.col("_range").alias("_r"), F.coalesce(F.lag("_end").over(Window.partitionBy().orderBy("_range")), F.last("_end").over(all_ends)).alias("_end"))
+    before = F.lag("_bucket").over(Window.partitionBy("_range").orderBy("_bucket"))
+    one = one.withColumn("_before", before).join(ends, F.col("_range") == F.col("_r")).select(F.col("_bucket").alias("_b"), "_first", F.coalesce("_before", "_end").alias("_to"))
+    heads = rows.join(one, (F.col("_bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_first")))
+    heads = heads.groupBy("_bucket", "_to").agg(F.min(F.struct("doc_id", "text")).alias("m"))
+    heads = heads.select("m.doc_id", "m.text", F.col("_to").alias("_bucket"), F.lit(True).alias("_halo"))
+    return rows.select("doc_id", "text", "_bucket", F.lit(False).alias("_halo")).unionByName(heads)
+
+
+def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, rows_a_bucket: int = 4000, most_ranges: int = 1024) -> DataFrame:
     """Fingerprints of every text, of its edited text and their likeness, and the likeness to the next document's.
 
     The next document has the next id in ascending order (nulls first, equal ids by text; after the last comes the first). Ids are cut
-    into ranges at quantiles; each range also gets the first row of the next one, so no task orders more than a range. A null text is
-    empty; one document alone is its own next; an empty table gives an empty one.
+    into buckets (see ``_dealt``); each also gets the first row of the next one, so no task orders more than a bucket, but for rows of one
+    id or of none, which stay together. Only quantiles of the ids reach the driver. A null text is empty; one document alone is its own
+    next; an empty table gives an empty one.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    n = rows.count()
-    parts = min(most_buckets, n // rows_a_bucket)
-    bounds: list[int] = []
-    if parts > 1:
-        found = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 50_000)).first()[0]
-        bounds = sorted(set(found or []))
-    rows = rows.withColumn("_bucket", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_bucket(F.col("doc_id"), bounds)))
-    # a first row a range: at most most_buckets + 1 ids reach the driver, never texts
-    firsts = sorted((r for r in rows.groupBy("_bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("s"), F.col("doc_id").alias("i"))).alias("m")).collect()), key=lambda r: r[0])
-    if firsts:
-        before = {r[0]: firsts[i - 1][0] for i, r in enumerate(firsts)}
-        first_of = F.lit(False)
-        goes_to = F.lit(0)
-        for r in firsts:
-            goes_to = F.when(F.col("_bucket") == r[0], F.lit(before[r[0]])).otherwise(goes_to)
-        ids = [r.m.i for r in firsts if r.m.i is not None]
-        first_of = F.col("doc_id").isin(ids) if ids else F.lit(False)
-        if any(r.m.i is None for r in firsts):
-            first_of = F.when(F.col("doc_id").isNull(), F.lit(True)).when(F.col("_bucket") == 0, F.lit(False)).otherwise(first_of)
-        halo = rows.filter(first_of).groupBy("_bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("s"), "doc_id", "text")).alias("m")).select("m.doc_id", "m.text", goes_to.alias("_bucket"), F.lit(True).alias("_halo"))
-        rows = rows.withColumn("_halo", F.lit(False)).unionByName(halo)
-    else:
-        rows = rows.withColumn("_halo", F.lit(False))
+    rows = _with_heads(_dealt(rows, rows_a_bucket, most_ranges))
     run = Window.partitionBy("_bucket").orderBy("_halo", F.col("doc_id").asc_nulls_first(), "text")
     rows = rows.withColumn("_next", F.lead("text").over(run))
     rows = rows.withColumn("_edited", edited(F.col("text"), F.coalesce("_next", F.lit(""))))

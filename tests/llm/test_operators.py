@@ -365,8 +365,9 @@ def test_signatures_cover_every_pair_that_links():
                     assert np.intersect1d(sign.of(a, rare=rare[0]), sign.of(b, rare=rare[1])).size, (least, size, drop)
 
 
-def test_fingerprints(spark, docs, nothing):
-    out = fingerprints.fingerprint_pairs(docs, rows_a_bucket=4).collect()
+@pytest.mark.parametrize("rows_a_bucket, most_ranges", [(4, 1024), (1, 3), (2, 1), (1000, 1024)])
+def test_fingerprints(spark, docs, nothing, rows_a_bucket, most_ranges):
+    out = fingerprints.fingerprint_pairs(docs, rows_a_bucket=rows_a_bucket, most_ranges=most_ranges).collect()
     assert len(out) == len(ROWS)
     ordered = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
     want = Counter()
@@ -380,6 +381,17 @@ def test_fingerprints(spark, docs, nothing):
     assert len(same) == 1 and fingerprints.fingerprint_pairs(nothing).count() == 0
 
 
+def test_buckets_of_ids_grow_with_the_table(spark):
+    ids = spark.range(40_000).select((F.col("id") * 3 - 50_000).alias("doc_id"))
+    dealt = fingerprints._dealt(ids, 100, 8)
+    sizes = dealt.groupBy("_bucket").count().collect()
+    assert 350 <= len(sizes) <= 400 and max(r["count"] for r in sizes) <= 250
+    ends = dealt.groupBy("_bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).orderBy("_bucket").collect()
+    assert all(x.b < y.a for x, y in zip(ends, ends[1:]))
+    wide = spark.createDataFrame([(-(1 << 63),), ((1 << 63) - 1,), (None,), (0,)], "doc_id long")
+    assert fingerprints._dealt(wide, 1, 2).select("_bucket").distinct().count() >= 3
+
+
 def test_sketches_estimate(spark):
     a, b = long_text(1, 1200), long_text(1, 1200)
     b = " ".join(b.split()[:900]) + " " + long_text(99, 300)
