@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.common import materialise
+
 SHINGLE = 5
 K = 128
 _BREAK = r"[\x20\x09-\x0D]+"
@@ -117,6 +119,7 @@ def _with_heads(rows: DataFrame) -> DataFrame:
     ends = ends.select(F.col("_range").alias("_r"), F.coalesce(F.lag("_end").over(Window.partitionBy().orderBy("_range")), F.last("_end").over(all_ends)).alias("_end"))
     before = F.lag("_bucket").over(Window.partitionBy("_range").orderBy("_bucket"))
     one = one.withColumn("_before", before).join(ends, F.col("_range") == F.col("_r")).select(F.col("_bucket").alias("_b"), "_first", F.coalesce("_before", "_end").alias("_to"))
+    one = materialise(one, "heads")  # a written table has a known size, so that texts are only shuffled for this join where it is too large to broadcast
     heads = rows.join(one, (F.col("_bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_first")))
     heads = heads.groupBy("_bucket", "_to").agg(F.min(F.struct("doc_id", "text")).alias("m"))
     heads = heads.select("m.doc_id", "m.text", F.col("_to").alias("_bucket"), F.lit(True).alias("_halo"))
