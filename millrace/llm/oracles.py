@@ -2,23 +2,40 @@
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '')"
 
+
+
+def _apportioned(name: str, parts: str, part: str, votes: str, among: str) -> str:
+    """SQL of the seats ``blocks`` of each group, dealt by the highest quotients: the table ``name`` of (number, part, won)."""
+    return f"""
+{name}_all AS (SELECT *, sum(CAST({votes} AS DOUBLE)) OVER (PARTITION BY {among}) AS v, count(*) OVER (PARTITION BY {among}) AS n FROM {parts} WHERE {votes} > 0),
+{name}_claims AS (
+  SELECT {among} AS g, {part} AS p, {votes} AS votes, blocks, unnest(range(1, CAST(floor({votes} * (blocks + n / 2.0 + 1) / v + 0.5) AS BIGINT) + 1)) AS k FROM {name}_all),
+{name}_places AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY CAST(votes AS DOUBLE) / (2 * k - 1) DESC, p) AS place FROM {name}_claims),
+{name} AS (SELECT g, p, count(*) AS won FROM {name}_places WHERE place <= blocks GROUP BY g, p)"""
+
+
 SOURCE_MIXING = rf"""
 WITH sized AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
-weighed AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM src),
+numbered AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS number FROM src),
+weighed AS (SELECT *, 1 + (number - 1) % 3 AS weight FROM numbered),
 levels AS (
   SELECT *, CAST(CAST(sum(source_size) OVER () AS BIGINT) - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
     / sum(weight) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
-goal AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), max(CASE WHEN level * weight <= 3 * source_size THEN level END) OVER () * weight) AS target FROM levels),
+goal AS (
+  SELECT number, 0 AS whole, source, source_size, least(CAST(3 * source_size AS DOUBLE), max(CASE WHEN level * weight <= 3 * source_size THEN level END) OVER () * weight) AS target,
+    CAST(sum(source_size) OVER () + 4 AS BIGINT) // 8 AS blocks FROM levels),{_apportioned("of_sources", "goal", "number", "target", "whole")},
 dealt AS (
-  SELECT d.*, source_size, target, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o, CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % (1 + source_size // 1048576) AS shard
-  FROM sized d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source),
+  SELECT d.*, number, source_size, target, coalesce(won, 0) AS blocks, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o,
+    CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % (1 + source_size // 1048576) AS shard
+  FROM sized d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN of_sources ON p = number),
+shards AS (SELECT number, shard, CAST(sum(size) AS BIGINT) AS words, any_value(blocks) AS blocks FROM dealt GROUP BY number, shard),{_apportioned("of_shards", "shards", "shard", "words", "number")},
 placed AS (
-  SELECT *, CAST(sum(size) OVER (PARTITION BY source, shard) AS BIGINT) AS words, CAST(sum(size) OVER (PARTITION BY source, shard ORDER BY o, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS before FROM dealt),
-quotas AS (SELECT *, least(CAST(floor(CASE WHEN source_size > 0 THEN target * words / source_size ELSE 0 END / 8.0 + 0.5) AS BIGINT) * 8, 3 * words) AS quota FROM placed)
+  SELECT d.*, words, least(coalesce(won, 0) * 8, 3 * words) AS quota, CAST(sum(size) OVER (PARTITION BY d.number, d.shard ORDER BY o, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS before
+  FROM dealt d JOIN shards s ON s.number = d.number AND s.shard = d.shard LEFT JOIN of_shards ON g = d.number AND p = d.shard)
 SELECT doc_id, size, source_size, target,
   CAST(CASE WHEN words > 0 THEN quota // words ELSE 0 END * size + greatest(0, least(quota - CASE WHEN words > 0 THEN quota // words ELSE 0 END * words - before, size)) AS BIGINT) AS taken
-FROM quotas"""
+FROM placed"""
 
 QUALITY_RULES = rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),

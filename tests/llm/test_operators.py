@@ -241,6 +241,55 @@ def test_source_mixing(spark, docs, nothing):
     assert mixed.columns == docs.columns and sum(len(words(r.text)) for r in mixed.collect()) == sum(r.taken for r in out)
 
 
+def highest_quotients(votes, seats):
+    won = Counter()
+    for _ in range(seats):
+        best = max((p for p in votes if votes[p] > 0), key=lambda p: (votes[p] / (2 * won[p] + 1), -p))
+        won[best] += 1
+    return won
+
+
+def test_seats_go_to_the_highest_quotients(spark):
+    groups = {0: ([5, 3, 1, 0], 7), 1: ([1000, 1, 1, 1, 1, 1, 1], 12), 2: ([4, 4, 4, 4], 6), 3: ([10], 5), 4: ([7, 7, 2], 0), 5: (list(range(1, 60)), 301), 6: ([1] * 9, 4), 7: ([0, 0], 3), 8: ([0.3, 2.5, 99.75], 1000)}
+    rows = [(g, p, float(v), seats) for g, (votes, seats) in groups.items() for p, v in enumerate(votes)]
+    out = source_mixing.apportion(spark.createDataFrame(rows, "g long, p long, votes double, seats long"), "p", "votes", "seats", ("g",)).collect()
+    for g, (votes, seats) in groups.items():
+        assert {r.p: r.won for r in out if r.g == g and r.won} == dict(highest_quotients(dict(enumerate(votes)), seats if any(votes) else 0))
+
+
+def test_source_mixing_by_shards(spark, docs):
+    out = source_mixing.mix(docs, block_words=4, shard_words=50).collect()
+    sizes, taken, goal = {}, Counter(), {}
+    source_of = {(r[0], len(words(r[1]))): r[3] for r in ROWS}
+    for r in out:
+        s = source_of[(r.doc_id, r.size)]
+        sizes[s], goal[s] = r.source_size, r.target
+        taken[s] += r.taken
+        assert 0 <= r.taken <= 3 * r.size
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    blocks = highest_quotients(dict(enumerate(goal[s] for s in names)), (sum(sizes.values()) + 2) // 4)
+    assert all(3 * sizes[s] <= 4 * blocks[k] or taken[s] == 4 * blocks[k] or 3 * sizes[s] - taken[s] < 12 for k, s in enumerate(names))
+    assert sorted(map(str, out)) == sorted(map(str, source_mixing.mix(docs.repartition(5), block_words=4, shard_words=50).collect()))
+
+
+@pytest.mark.parametrize("name", ["op6_source_mixing", "op8_jaccard_join", "op10_quality_rules"])
+def test_queries_equal_their_sql(spark, tmp_path, docs, name):
+    import duckdb
+
+    from millrace.llm import registry
+
+    many = [(100 + k, f"{long_text(k % 37, 30 + k % 50)}\n{long_text(k % 11, 25)}", "en", "cd"[k % 2], 0) for k in range(300)]
+    rows = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "source", "n_chars")
+    rows.union(spark.createDataFrame(many, rows.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.sql(registry.ORACLE_SQL[name])
+    assert sorted(found.columns) == sorted(df.columns)
+    plain = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
+    assert Counter(map(plain, df.select(*found.columns).collect())) == Counter(map(plain, found.fetchall()))
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "https://WWW.Example.ORG/en/1x?q#f", "https://example.org/es/a", "https://notexample.org/es/", "http://a.com/fr/b", "http://a.com/de/b?x=1&y=2", "http://com/de/", "http://x.net/en/12", "http://x.org", "http://u:p@y.org:80/p"] * 3
     df = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(urls)], "page_id long, url string, host string")
