@@ -90,6 +90,8 @@ _CRC: dict[int, list[int]] = {}
 
 
 def _crc32(raw: bytes, polynomial: int) -> int:
+    if polynomial == _POLYNOMIALS["IEEE"]:
+        return zlib.crc32(raw)
     if polynomial not in _CRC:
         table = []
         for n in range(256):

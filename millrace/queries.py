@@ -118,7 +118,13 @@ exactly("json_merge_assign", "events", 'root.k = this.event_id\nlet a = {"x": th
 exactly("json_with_without", "nation", 'root.a = this.with("n_name", "n_nationkey")\nroot.b = this.without("n_name").keys().length()', "a struct<n_name:string,n_nationkey:bigint>, b long", "SELECT {'n_name': n_name, 'n_nationkey': CAST(n_nationkey AS BIGINT)} AS a, 2::BIGINT AS b FROM nation")
 exactly("parse_formats", "nation", 'root.k = this.n_nationkey\nroot.y = ("a: " + this.n_name).parse_yaml().a\nroot.x = ("<r><n>" + this.n_name + "</n></r>").parse_xml().r.n\nroot.c = ("h\\n" + this.n_name).parse_csv().index(0).h\nroot.m = {"v": this.n_name}.format_msgpack().parse_msgpack().v\nroot.l = ("name=" + this.n_name.replace_all(" ", "_")).parse_logfmt().name', "k long, y string, x string, c string, m string, l string", "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS y, n_name AS x, n_name AS c, n_name AS m, replace(n_name, ' ', '_') AS l FROM nation")
 exactly("url_parse", "pages", "root.k = this.page_id\nlet u = this.url.parse_url()\nroot.s = $u.scheme\nroot.h = $u.host\nroot.p = $u.path\nroot.q = $u.raw_query\nroot.f = $u.fragment", "k long, s string, h string, p string, q string, f string", "SELECT page_id AS k, regexp_extract(url, '^([a-z]+)://', 1) AS s, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS h, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '\\?([^#]*)', 1) AS q, regexp_extract(url, '#(.*)$', 1) AS f FROM pages")
-exactly("strip_html", "pages", "root.k = this.page_id\nroot.t = this.html.strip_html().length() > 0", "k long, t boolean")
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#34;", '"'), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+_STRIPPED = "regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?(-->|$)', '', 'gs'), '<(script|style)\\b[^>]*>.*?(</(script|style)\\s*>|$)', '', 'gsi'), '</?[A-Za-z][^>]*>|<[!?][^>]*>', '', 'g')"
+for _entity, _char in _ENTITIES:
+    _STRIPPED = f"replace({_STRIPPED}, '{_entity}', '{_char}')"
+for _char, _entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("''", "&#39;")):
+    _STRIPPED = f"replace({_STRIPPED}, '{_char}', '{_entity}')"
+exactly("strip_html", "pages", "root.k = this.page_id\nroot.t = this.html.strip_html()", "k long, t string", f"SELECT page_id AS k, {_STRIPPED} AS t FROM pages")
 
 # processors
 chained("proc_switch", "events", [{"switch": [
