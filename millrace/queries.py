@@ -121,7 +121,7 @@ exactly("url_parse", "pages", "root.k = this.page_id\nlet u = this.url.parse_url
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#34;", '"'), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 _STRIPPED = "regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?(-->|$)', '', 'gs'), '<(script|style)\\b[^>]*>.*?(</(script|style)\\s*>|$)', '', 'gsi'), '</?[A-Za-z][^>]*>|<[!?][^>]*>', '', 'g')"
 for _entity, _char in _ENTITIES:
-    _STRIPPED = f"replace({_STRIPPED}, '{_entity}', '{_char}')"
+    _STRIPPED = f"regexp_replace({_STRIPPED}, '{_entity}?', '{_char}', 'g')"  # the semicolon may lack
 for _char, _entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("''", "&#39;")):
     _STRIPPED = f"replace({_STRIPPED}, '{_char}', '{_entity}')"
 exactly("strip_html", "pages", "root.k = this.page_id\nroot.t = this.html.strip_html()", "k long, t string", f"SELECT page_id AS k, {_STRIPPED} AS t FROM pages")
