@@ -7,9 +7,9 @@ triggers, so suffixes cut at ``length`` bytes are ordered within the phrases tha
 
 Corpus order: suffixes are ordered by (trigger, phrase, document, start). Of equal phrases all but the first are repeats, known from
 the parse alone; within a block of documents this happens before anything is shuffled. Only where different phrases share a trigger
-the suffixes of those dictionary phrases are sorted (by offset and hash of ``length`` bytes, since order matters only between equal
-ones), and of equal suffixes the first stays. A trigger with very many different phrases is sorted suffix by suffix, each under a key
-of its own. Phrases are compared by two independent 64-bit hashes.
+the suffix array of those dictionary phrases is built (by prefix doubling, cut at ``length`` bytes); the places of its equal suffixes in the
+parse follow in corpus order (document, start), and the first stays. A trigger with very many different phrases is dealt suffix by suffix,
+each under a key of its own. Phrases are compared by two independent 64-bit hashes, suffixes byte by byte.
 """
 
 from __future__ import annotations
@@ -216,8 +216,30 @@ def _contents(length: int, most_phrases: int):
     return run
 
 
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """The place of each suffix among all suffixes of ``data`` in the order of their first ``length`` bytes: equal places are equal strings.
+    Suffixes shorter than that get a place without meaning. By prefix doubling: ranks of w bytes give those of 2 w."""
+    n, width = len(data), 1 << min(3, length.bit_length() - 1)
+    padded = np.concatenate((data, np.zeros(length, dtype=np.uint8))).astype(np.uint64)
+    key = np.zeros(n, dtype=np.uint64)
+    for k in range(width):
+        key = key << np.uint64(8) | padded[k : n + k]
+    while True:
+        order = np.argsort(key)
+        key = key[order]
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+        if width == length:
+            return rank
+        step = min(width, length - width)
+        key = rank * np.int64(n)
+        key[: max(0, n - step)] += rank[step:]
+        width += step
+
+
 def _suffixes(length: int):
-    """Phrases sorted by key: sort the suffixes of each key's phrases; all but the first of equal ones are repeats."""
+    """Phrases sorted by key: the suffix array of the phrases of some keys; all but the first of equal suffixes are repeats. Equal strings of
+    ``length`` bytes have one trigger and so one key, which is never cut."""
 
     def solve(keys: list, docs: list, vs: list, starts: list, pieces: list) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(p) for p in pieces])
@@ -226,15 +248,15 @@ def _suffixes(length: int):
         of = np.repeat(np.arange(len(sizes)), windows)
         k = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
         at = np.repeat(np.cumsum(sizes) - sizes, windows) + k
-        hashes = []
-        for base in (BASE, BASE2):
-            sums, inverse = prefix_sums(data, base)
-            hashes.append((sums[at + length] - sums[at]) * inverse[at])
-        key = mix64(hashes[0] + mix64(np.array(keys, dtype=np.int64).view(np.uint64))[of])
+        rank = suffix_ranks(data, length)[at]
+        some = np.flatnonzero(np.bincount(rank)[rank] > 1)
+        if not len(some):
+            return
+        rank, of, k = rank[some], of[some], k[some]
         doc, v, start = np.array(docs, dtype=np.int64)[of], np.array(vs, dtype=np.int64)[of], np.array(starts, dtype=np.int64)[of] + k
-        order = np.lexsort((start, doc, hashes[1], key))
-        key, other, doc, v, start = key[order], hashes[1][order], doc[order], v[order], start[order]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (other[1:] != other[:-1])))
+        order = np.lexsort((start, doc, rank))
+        rank, doc, v, start = rank[order], doc[order], v[order], start[order]
+        new = np.concatenate(([True], rank[1:] != rank[:-1]))
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = (doc != doc[lead]) | (start != start[lead])
         yield from _removed(doc[later], v[later], start[later], start[later] + length)

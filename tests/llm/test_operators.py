@@ -166,6 +166,19 @@ def test_suffix_dedup(spark, docs, nothing, rows_a_batch, most):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("length", [1, 2, 5, 8, 13, 100])
+def test_suffix_ranks(length):
+    rng = np.random.default_rng(length)
+    data = np.concatenate((rng.integers(0, 2, 400), np.zeros(150), rng.integers(0, 256, 200), np.full(150, 255))).astype(np.uint8)
+    raw = data.tobytes()
+    whole = len(raw) - length + 1
+    rank = suffix_dedup.suffix_ranks(data, length)[:whole]
+    strings = [raw[k : k + length] for k in range(whole)]
+    order = np.argsort(rank, kind="stable")
+    assert [strings[k] for k in order] == sorted(strings)
+    assert len(set(rank.tolist())) == len(set(strings))
+
+
 def test_suffix_dedup_segments(monkeypatch):
     data = np.frombuffer((long_text(1, 900) * 2).encode(), dtype=np.uint8)
     whole = suffix_dedup.phrases(data)
