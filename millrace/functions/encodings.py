@@ -12,6 +12,7 @@ import re
 import uuid
 import zlib
 
+from millrace.functions import argon2
 from millrace.functions.strings import integer, string
 from millrace.functions.table import expected, method
 from millrace.functions.values import MappingError, bytes_of, from_json, to_json
@@ -374,9 +375,34 @@ def _compare_bcrypt(v, hashed):
     return hmac.compare_digest(bcrypt_digest(bytes_of(v), raw(m[2], 16), int(m[1])), raw(m[3], 23))
 
 
+#: KiB that one comparison may take on an executor.
+ARGON2_MOST = 1 << 20
+
+
 @method("compare_argon2", "hashed_secret")
 def _compare_argon2(v, hashed):
-    raise MappingError("compare_argon2 is not supported: no Argon2 implementation is at hand")
+    encoded = string(hashed)
+    if not encoded:
+        raise MappingError("argon2: the hashed secret is empty")
+    fields = ["", *encoded.removeprefix("$").split("$")]
+    if len(fields) != 6:
+        raise MappingError("argon2: the hashed secret is not in the expected format")
+    if fields[1] not in argon2.VARIANTS:
+        raise MappingError(f"argon2: unknown variant {fields[1]}")
+    version = re.fullmatch(r"v=(\d+)", fields[2])
+    if not version:
+        raise MappingError("argon2: missing version")
+    sizes = re.fullmatch(r"m=(\d+),t=(\d+),p=(\d+)", fields[3])
+    if not sizes:
+        raise MappingError("argon2: missing parameters")
+    memory, passes, lanes = map(int, sizes.groups())
+    try:
+        salt, wanted = (base64.b64decode(x + "=" * (-len(x) % 4), validate=True) for x in fields[4:])
+    except ValueError:
+        raise MappingError("argon2: the hashed secret is not in the expected format") from None
+    if int(version[1]) not in (16, 19) or lanes < 1 or passes < 1 or memory < 8 * lanes or memory > ARGON2_MOST or len(salt) < 8 or len(wanted) < 4:
+        raise MappingError("argon2 derivation failed: a parameter is out of its range")
+    return hmac.compare_digest(argon2.digest(bytes_of(v), salt, fields[1], int(version[1]), memory, passes, lanes, len(wanted)), wanted)
 
 
 def compress(raw: bytes, algorithm: str, level: int = -1) -> bytes:
