@@ -26,6 +26,8 @@ from millrace.plans.parser import interpolated, parse
 from millrace.shipping import ship
 
 ERR = "struct<msg:string,name:string,label:string,path:string>"
+_META = pa.map_(pa.string(), pa.string())
+_ERRORS = pa.struct([(n, pa.string()) for n in ("msg", "name", "label", "path")])
 _BATCHED = re.compile(r"\b(from|from_all|batch_index|batch_size)\s*\(")
 _ORDERED = re.compile(r"\b(counter|count|random_int|snowflake_id)\s*\(")
 
@@ -196,12 +198,38 @@ def exact(flow: Flow, configs: list[dict], resources: Resources) -> Flow:
         step = batches.chain(configs, own)
         schema = None
 
+        def packed(ms: list[Message], order: pa.Array, key: pa.Array) -> pa.RecordBatch:
+            if any(m.meta for m in ms):
+                meta = pa.array([[(k, v if isinstance(v, str) else batches.text_of(v)) for k, v in m.meta.items()] for m in ms], _META)
+            else:
+                meta = pa.MapArray.from_arrays(pa.array([0] * (len(ms) + 1), pa.int32()), pa.array([], pa.string()), pa.array([], pa.string()))
+            err = pa.array([m.err for m in ms], _ERRORS) if any(m.err for m in ms) else pa.nulls(len(ms), _ERRORS)
+            return pa.RecordBatch.from_arrays([pa.array([m.content for m in ms], pa.binary()), meta, err, order, key], names=columns)
+
         def emit(found: list[tuple[str, list[tuple[Message, Any]]]]) -> pa.RecordBatch:
             rows = [(m, o, key) for key, ms in found for m, o in ms]
-            return pa.RecordBatch.from_arrays([
-                pa.array([m.content for m, _, _ in rows], pa.binary()), pa.array([list((k, v if isinstance(v, str) else batches.text_of(v)) for k, v in m.meta.items()) for m, _, _ in rows], pa.map_(pa.string(), pa.string())),
-                pa.array([m.err for m, _, _ in rows], pa.struct([(n, pa.string()) for n in ("msg", "name", "label", "path")])), pa.array([o for _, o, _ in rows], schema.field("ord").type), pa.array([k for _, _, k in rows], pa.string()),
-            ], names=columns)
+            return packed([m for m, _, _ in rows], pa.array([o for _, o, _ in rows], schema.field("ord").type), pa.array([k for _, _, k in rows], pa.string()))
+
+        def alone(part: pa.RecordBatch) -> pa.RecordBatch:
+            """Each message is a batch of its own: order and batch stay in Arrow."""
+            out, at, later = [], [], {}
+            for k, m in enumerate(messages(part)):
+                for j, b in enumerate(step([m])):
+                    if j:
+                        later.update((n, j) for n in range(len(out), len(out) + len(b)))
+                    out += b
+                    at += [k] * len(b)
+            index = pa.array(at, pa.int32())
+            key = part.column(4).take(index)
+            if later:
+                key = pa.array([f"{k}/{later[n]}" if n in later else k for n, k in enumerate(key.to_pylist())], pa.string())
+            return packed(out, part.column(3).take(index), key)
+
+        def messages(part: pa.RecordBatch) -> Iterator[Message]:
+            n, meta, err = part.num_rows, part.column(1), part.column(2)
+            metas = meta.to_pylist() if n and meta.offsets[n].as_py() > meta.offsets[0].as_py() else [None] * n
+            errs = err.to_pylist() if err.null_count < n else [None] * n
+            return (Message(c, meta=dict(m or []), err=e) for c, m, e in zip(part.column(0).to_pylist(), metas, errs))
 
         def solve(key: str, members: list[tuple[Message, Any]]) -> list:
             out = []
@@ -214,12 +242,11 @@ def exact(flow: Flow, configs: list[dict], resources: Resources) -> Flow:
         held_key, held = None, []
         for part in parts:
             schema = part.schema
+            if not together:
+                yield alone(part)
+                continue
             found = []
-            for content, meta, err, ord_, key in zip(*(part.column(k).to_pylist() for k in range(5))):
-                m = Message(content, meta=dict(meta or []), err=err)
-                if not together:
-                    found += solve(key, [(m, ord_)])
-                    continue
+            for m, ord_, key in zip(messages(part), part.column(3).to_pylist(), part.column(4).to_pylist()):
                 if held and key != held_key:
                     found += solve(held_key, held)
                     held = []
