@@ -220,10 +220,11 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     """The place of each suffix among all suffixes of ``data`` in the order of their first ``length`` bytes: equal places are equal strings.
     Suffixes shorter than that get a place without meaning. By prefix doubling: ranks of w bytes give those of 2 w."""
     n, width = len(data), 1 << min(3, length.bit_length() - 1)
-    padded = np.concatenate((data, np.zeros(length, dtype=np.uint8))).astype(np.uint64)
+    padded = np.concatenate((data, np.zeros(length, dtype=np.uint8)))
     key = np.zeros(n, dtype=np.uint64)
     for k in range(width):
-        key = key << np.uint64(8) | padded[k : n + k]
+        key <<= np.uint64(8)
+        key |= padded[k : n + k]
     while True:
         order = np.argsort(key)
         key = key[order]
@@ -266,7 +267,7 @@ def _suffixes(length: int):
         load = 0
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if load > 1 << 20 and row[0] != rows[0][-1]:
+                if load > 1 << 19 and row[0] != rows[0][-1]:
                     yield from solve(*rows)
                     rows, load = [[], [], [], [], []], 0
                 for column, x in zip(rows, row):
