@@ -9,32 +9,68 @@ from millrace.llm import jaccard_join, language_id, sentencepiece_codec, source_
 from millrace.llm.common import materialise
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _aside(docs: DataFrame) -> DataFrame:
+    """Extra columns under names that no operator adds, so that a stage gives them back as they came."""
+    return docs.toDF(*(n if n in COLUMNS else f"extra_{k}" for k, n in enumerate(docs.columns)))
+
+
+def _back(out: DataFrame, own: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.select(*own.columns).toDF(*docs.columns)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is rejected go; a null language becomes the predicted one."""
-    model = language_id.fit(docs, F.lit(True))
-    judged = language_id.predict(docs, model).filter(~F.col("lang_rejected"))
-    return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """Documents whose language is rejected go; a null language becomes the predicted one.
+
+    A null text and one without a letter are rejected. Repeated rows are judged alike, each by itself. An empty table stays empty; extra
+    columns, whatever their names, pass.
+    """
+    own = _aside(docs)
+    model = language_id.fit(own, F.lit(True))
+    judged = language_id.predict(own, model).filter(~F.col("lang_rejected"))
+    return _back(judged.withColumn("lang", F.coalesce("lang", "lang_pred")), own, docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that link by five-word shingles at 0.8 or more, the least id of each group stays."""
-    return jaccard_join.one_of_each_group(docs).select(*docs.columns)
+    """Of the documents that link by five-word shingles at 0.8 or more, the least id of each group stays.
+
+    Null and empty texts link with nothing and stay; so do rows that share the id that stays, and rows without an id. An empty table stays
+    empty; extra columns, whatever their names, pass.
+    """
+    own = _aside(docs)
+    return _back(jaccard_join.one_of_each_group(own), own, docs)
 
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes covered by a 100-byte string that starts earlier go; a character that loses a byte goes whole."""
-    left = suffix_dedup.remove_repeats(docs)
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
-    return left.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*docs.columns)
+    """Bytes covered by a 100-byte string that starts earlier go; a character that loses a byte goes whole.
+
+    No row goes: a null text stays null, an emptied one is empty. Rows that share an id are one document; null ids come last. ``n_chars``,
+    where there is such a column, is counted again for texts that changed. An empty table stays empty; extra columns, whatever their
+    names, pass.
+    """
+    own = _aside(docs)
+    left = suffix_dedup.remove_repeats(own)
+    left = left.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text")))
+    if "n_chars" in own.columns:
+        left = left.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    return _back(left, own, docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often, and the last time as far, as the mixture of the sources takes them."""
-    return source_mixing.mixed_documents(docs).select(*docs.columns)
+    """Documents as often, and the last time as far, as the mixture of the sources takes them.
+
+    Null and empty texts have no words, so nothing is taken of them. A null source is one source, the last. An empty table stays empty;
+    extra columns, whatever their names, pass.
+    """
+    own = _aside(docs)
+    return _back(source_mixing.mixed_documents(own), own, docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text; (doc_id, ids, n_tokens)."""
+    """Ids of every text; (doc_id, ids, n_tokens). A null or empty text has the end id alone; each row gives a row, whatever its id; extra
+    columns are left out."""
     return sentencepiece_codec.encode_documents(docs).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
