@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -153,8 +154,29 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+#: Long texts are hashed in pieces of about so many bytes; a word's hash doesn't depend on its place.
+SEGMENT = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(raw: bytes) -> Iterator[bytes]:
+    """The bytes in pieces that end before white space."""
+    at = 0
+    while at < len(raw):
+        found = _SPACE.search(raw, at + SEGMENT)
+        end = found.start() if found else len(raw)
+        yield raw[at:end]
+        at = end
+
+
 def word_hashes(raw: bytes) -> np.ndarray:
     """A 64-bit hash of each word of the bytes, in order."""
+    if len(raw) > SEGMENT:
+        return np.concatenate([_hashes(piece) for piece in pieces(raw)])
+    return _hashes(raw)
+
+
+def _hashes(raw: bytes) -> np.ndarray:
     data = np.frombuffer(raw, dtype=np.uint8)
     start, end = word_bounds(data)
     if not len(start):

@@ -56,14 +56,14 @@ def measurements(text: str) -> tuple[int, ...]:
     symbols = int(_SYMBOL[data].sum())
     if not n:
         return 0, 0, symbols, 0, 0, 0, 0, 0
-    heads = np.zeros(len(data) + 1, dtype=np.int64)
-    np.cumsum(_START[data], out=heads[1:])
-    chars = int((heads[end] - heads[start]).sum())
-    big = np.zeros(len(data) + 1, dtype=np.int64)
-    np.cumsum((data >= 65) & (data <= 90), out=big[1:])
-    small = np.zeros(len(data) + 1, dtype=np.int64)
-    np.cumsum((data >= 128) | (data >= 97) & (data <= 122), out=small[1:])
-    big, small = big[end] - big[start], small[end] - small[start]
+    edges = np.stack((start, end), axis=1).ravel()[: 2 * n - 1]  # the last word runs to the end, behind which there is only white space
+
+    def in_words(marks: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(marks[: end[-1]], edges, dtype=np.int64)[::2]
+
+    chars = int(in_words(_START[data]).sum())
+    big = in_words((data >= 65) & (data <= 90))
+    small = in_words((data >= 128) | (data >= 97) & (data <= 122))
     alpha, upper = int((big + small > 0).sum()), int(((big > 1) & (small == 0)).sum())
     repeated = 0
     if n >= WINDOW:

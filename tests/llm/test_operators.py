@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm import fingerprints, importance_sampling, jaccard_join, language_id, mixing_model, quality_rules, sentencepiece_codec, source_mixing, suffix_dedup, url_filter
+from millrace.llm import common, fingerprints, importance_sampling, jaccard_join, language_id, mixing_model, quality_rules, sentencepiece_codec, source_mixing, suffix_dedup, url_filter
 
 WORD = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, doc string, v string, size string, target string, hash string, kind string, score double, lang_pred string, kept string"
@@ -179,6 +179,15 @@ def test_suffix_ranks(length):
     assert len(set(rank.tolist())) == len(set(strings))
 
 
+def test_word_hashes_of_segments(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [b"", b" \t", b"x" * 500, b" a  bb\n", bytes(rng.choice(np.frombuffer(b"ab \n", dtype=np.uint8), 3000)) + b"tail" * 40]
+    whole = [common.word_hashes(t).tolist() for t in texts]
+    monkeypatch.setattr(common, "SEGMENT", 50)
+    assert [common.word_hashes(t).tolist() for t in texts] == whole
+    assert [b"".join(common.pieces(t)) for t in texts] == texts
+
+
 def test_suffix_dedup_segments(monkeypatch):
     data = np.frombuffer((long_text(1, 900) * 2).encode(), dtype=np.uint8)
     whole = suffix_dedup.phrases(data)
