@@ -2,8 +2,8 @@
 
 Two sets of which the smaller has n shingles and that link differ in at most (100 - least) * n / least shingles, H of them. Each set
 signs pairs of cells of the hash space such that two sets that link share a signature (``Signatures``). Signatures
-follow size classes (a set signs for its own class and for the one below) and are combined within each block of documents before they are
-shuffled; shingles of very many texts are left out of them as far as that is exact. Sets that share one are candidates; a block and a task hand on a forest of their candidate links, the components
+follow size classes (a set signs for its own class and for the one below), are combined within each block of documents and shuffled in
+packed rows, a block's and a bucket's together (``Block``), of a size that doesn't depend on the number of partitions; shingles of very many texts are left out of them as far as that is exact. Sets that share one are candidates; a block and a task hand on a forest of their candidate links, the components
 of all are families, and no link leaves a family.
 
 A family is opened in a token-group matrix: its sets are parted into groups of similar ones (by their least shingle), each group's
@@ -20,7 +20,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import LOWER, discard, in_slices, materialise, mix64, shingle_hashes, word_hashes
@@ -119,20 +120,87 @@ def _stars(keys: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return k[head], m[head], first[other], m[other]
 
 
-_SIGNED_ROWS = "kind byte, at long, x long, y long, z long, text_key long"
+_SIGNED_ROWS = "kind byte, at long, x long, y long, z long, text_key long, packed binary"
+#: What a row is: a document, a bucket's signatures of a block, a link of set hashes, a set's number and hash, a link of numbers.
+_DOCUMENT, _PACKED, _LINK, _NUMBER, _NUMBERED_LINK = range(5)
+_NUMBERED = 20
 
 
-def _rows(kind: int, x, y, z=None, text_key=None) -> pa.RecordBatch:
-    """``at`` deals the rows out: signatures by themselves, rows that meet no others one by one."""
+def _rows(kind: int, x, y, z=None, text_key=None, at=None, packed=None) -> pa.RecordBatch:
+    """``at`` deals the rows out: signatures by their buckets, rows that meet no others one by one."""
     n = len(x)
-    at = x if kind == 1 else np.arange(n)
+    at = np.arange(n) if at is None else at
     rest = [pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (z, text_key)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, dtype=np.int8)), pa.array(at, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), *rest], names=["kind", "at", "x", "y", "z", "text_key"])
+    packed = pa.nulls(n, pa.binary()) if packed is None else packed
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, dtype=np.int8)), pa.array(at, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), *rest, packed], names=["kind", "at", "x", "y", "z", "text_key", "packed"])
 
 
-def common_slots(docs: DataFrame, text_col: str, words: int, times: float = 4.0) -> np.ndarray:
+def _width(most: int) -> int:
+    return max(1, (int(most).bit_length() + 7) // 8)
+
+
+class Block:
+    """The signatures of some sets, combined and packed. A set has a number: the task's, the block's and its own in the block.
+
+    A signature loses its last byte, which may add candidates but takes none. A bucket is a range of signatures; its row holds the first of
+    them, then for each how far it lies from the one before and the number in the block of the least set that has it.
+    """
+
+    def __init__(self, buckets: int):
+        self.buckets, self.task, self.number = buckets, TaskContext.get().partitionId(), 0
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes, self.sigs, self.signed = [], [], 0
+
+    def add(self, set_hash: int, signatures: np.ndarray) -> None:
+        if len(signatures):
+            self.hashes.append(set_hash)
+            self.sigs.append(signatures)
+            self.signed += len(signatures)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        """The block's rows; an empty block follows."""
+        if self.sigs:
+            hashes, base = np.array(self.hashes, dtype=_SIGNED), (self.task << _NUMBERED | self.number) << _NUMBERED
+            keys, first, a, b = _stars(np.concatenate(self.sigs) >> np.uint64(8), np.repeat(np.arange(len(hashes)), [len(s) for s in self.sigs]))
+            yield _rows(_NUMBER, base + np.arange(len(hashes)), hashes)
+            if len(a):
+                x, y = forest(a, b)
+                yield _rows(_LINK, hashes[x], hashes[y])
+            bucket = ((keys >> np.uint64(24)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+            new = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            step = np.diff(keys, prepend=keys[:1])
+            step[new] = 0
+            wide, own = _width(step.max()), _width(len(hashes) - 1)
+            records = np.concatenate((step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide], first.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :own]), axis=1)
+            ends = np.concatenate((new, [len(keys)])).astype(np.int32) * np.int32(wide + own)
+            packed = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(records.tobytes())])
+            rows = _rows(_PACKED, np.full(len(new), base), keys[new].view(_SIGNED), np.full(len(new), wide), np.full(len(new), own), bucket[new], packed)
+            yield from (rows.slice(k, 4096) for k in range(0, rows.num_rows, 4096))
+            self.number += 1
+        self._clear()
+
+
+def unpacked(base: int, first: int, wide: int, own: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, numbers of their sets) of a packed row."""
+    records = np.frombuffer(packed, dtype=np.uint8).reshape(-1, wide + own)
+    parts = []
+    for part in (records[:, :wide], records[:, wide:]):
+        whole = np.zeros((len(records), 8), dtype=np.uint8)
+        whole[:, : part.shape[1]] = part
+        parts.append(whole.view("<u8").ravel())
+    return np.cumsum(parts[0]) + np.uint64(first), parts[1].astype(np.int64) + base
+
+
+def bucket_count(spark: SparkSession, shingles: int) -> int:
+    """Some buckets a partition, and as many as keep the signatures of one, about one for each shingle, in the memory of a task."""
+    return max(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), shingles >> 20)
+
+
+def common_slots(docs: DataFrame, text_col: str, words: int, times: float = 4.0) -> tuple[np.ndarray, int]:
     """Which of 2**20 slots of shingle hashes are common: those that hold more than ``times`` the mean number of (text, shingle), and a hundred
-    more. Every text counts; tasks send packed counts of all slots, so what is shuffled follows the number of tasks."""
+    more; and the number of all (text, shingle). Every text counts; tasks send packed counts of all slots, so what is shuffled follows the number of tasks."""
     pack, cell = zstandard.ZstdCompressor, 1 << 14
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,11 +223,12 @@ def common_slots(docs: DataFrame, text_col: str, words: int, times: float = 4.0)
 
     cells = docs.select(docs[text_col].cast("string").alias("t")).mapInArrow(in_slices(count), "cell long, counts binary")
     slots = materialise(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(in_slices(add), "slot long, n long"), "slots")
-    mean = (slots.agg(F.sum("n")).first()[0] or 0) / _SLOTS
+    total = slots.agg(F.sum("n")).first()[0] or 0
+    mean = total / _SLOTS
     out = np.zeros(_SLOTS, dtype=bool)
     out[[r.slot for r in slots.filter(F.col("n") > times * mean + 100).select("slot").collect()]] = True  # at most a share of 1 / times
     discard(slots)
-    return out
+    return out, total
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -167,22 +236,13 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
 
 
 def sets_and_signatures(docs: DataFrame, id_col: str, text_col: str, words: int, least: int) -> DataFrame:
-    """One pass: rows (kind, at, x, y, z, text_key). 0: document id, set size, set hash, hash of the text. 1: signature, set hash. 2: candidate
-    link of set hashes."""
-    common = docs.sparkSession.sparkContext.broadcast(np.packbits(common_slots(docs, text_col, words)))
+    """One pass: rows (kind, at, x, y, z, text_key, packed) of documents (id, set size, set hash, hash of the text) and of ``Block``."""
+    often_slots, shingles = common_slots(docs, text_col, words)
+    common, buckets = docs.sparkSession.sparkContext.broadcast(np.packbits(often_slots)), bucket_count(docs.sparkSession, shingles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign, often = Signatures(least), np.unpackbits(common.value).view(bool)
-        sigs, seen, load, signed = [], {}, 0, 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            owner = np.repeat(np.array(list(seen), dtype=_SIGNED), [len(s) for s in sigs])
-            key, first, a, b = _stars(np.concatenate(sigs).view(_SIGNED), owner)
-            order = np.argsort(first, kind="stable")  # a set's rows together, which packs well
-            yield _rows(1, key[order], first[order])
-            if len(a):
-                yield _rows(2, *forest(a, b))
-
+        block, seen, load = Block(buckets), set(), 0
         for batch in batches:
             ids, sizes, hashes = batch.column(0).to_pylist(), [], []
             for t in batch.column(1).to_pylist():
@@ -191,16 +251,14 @@ def sets_and_signatures(docs: DataFrame, id_col: str, text_col: str, words: int,
                 sizes.append(len(s))
                 hashes.append(h)
                 if h is not None and h not in seen:
-                    seen[h] = True
-                    sigs.append(sign.of(s, rare=s[~often[_slot(s)]]))
+                    seen.add(h)
+                    block.add(h, sign.of(s, rare=s[~often[_slot(s)]]))
                     load += len(s)
-                    signed += len(sigs[-1])
-                    if load > _BLOCK_SHINGLES or signed > _BLOCK_SIGNATURES:
-                        yield from flush()
-                        sigs, seen, load, signed = [], {}, 0, 0
-            yield _rows(0, ids, sizes, hashes, batch.column(2).to_pylist())
-        if sigs:
-            yield from flush()
+                    if load > _BLOCK_SHINGLES or block.signed > _BLOCK_SIGNATURES:
+                        yield from block.flush()
+                        seen, load = set(), 0
+            yield _rows(_DOCUMENT, ids, sizes, hashes, batch.column(2).to_pylist())
+        yield from block.flush()
 
     return docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].cast("string").alias("t"), _text_key(docs[text_col])).mapInArrow(in_slices(run), _SIGNED_ROWS)
 
@@ -210,40 +268,60 @@ def _text_key(text: Column) -> Column:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (at, y): those of signatures become a forest of the links from the first set of each signature to its others, the rest
-    passes. What is held is bounded: a forest that grows beyond that goes out."""
-    last, first = None, None
+    """Rows sorted by ``at``: a bucket's signatures of all blocks become a forest of the links from the first set of each signature to its
+    others, the rest passes. What is held is one bucket and a forest that goes out when it has grown beyond a bound."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    load = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        met = batch.column(0).to_numpy() == 1
-        if not met.all():
-            yield batch.filter(pa.array(~met))
-        key, member = (batch.column(k).to_numpy(zero_copy_only=False)[met].astype(_SIGNED) for k in (2, 3))
-        if not len(key):
-            continue
-        head = np.ones(len(key), dtype=bool)
-        head[1:] = key[1:] != key[:-1]
-        at = np.flatnonzero(head)
-        lead = member[at][np.cumsum(head) - 1]
-        if last is not None and key[0] == last:
-            end = at[1] if len(at) > 1 else len(key)
-            lead[:end] = first
-        last, first = key[-1], lead[-1]
-        other = lead != member
-        if other.any():
-            held.append((lead[other], member[other]))
-            load += len(held[-1][0])
+    bucket, parts, load = None, [], 0
+
+    def links() -> Iterator[pa.RecordBatch]:
+        nonlocal held, load
+        keys, numbers = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(keys)
+        keys = keys[order]
+        same = keys[1:] == keys[:-1]
+        shared = np.concatenate((same, [False]))
+        shared[1:] |= same
+        if not shared.any():
+            return
+        _, _, a, b = _stars(keys[shared], numbers[order[shared]])
+        held.append((a, b))
+        load += len(a)
         if load > _HELD_LINKS:
             held = [forest(*(np.concatenate(x) for x in zip(*held)))]
             load = len(held[0][0])
             if load > _HELD_LINKS // 2:
-                yield _rows(2, *held[0])
+                yield _rows(_NUMBERED_LINK, *held[0])
                 held, load = [], 0
+
+    for batch in batches:
+        met = batch.column(0).to_numpy() == _PACKED
+        if not met.all():
+            yield batch.filter(pa.array(~met))
+        if met.any():
+            for at, *row in zip(*(batch.filter(pa.array(met)).column(k).to_pylist() for k in range(1, 7))):
+                if at != bucket and parts:
+                    yield from links()
+                    parts = []
+                bucket = at
+                parts.append(unpacked(*row))
+    if parts:
+        yield from links()
     if held:
-        yield _rows(2, *forest(*(np.concatenate(x) for x in zip(*held))))
+        yield _rows(_NUMBERED_LINK, *forest(*(np.concatenate(x) for x in zip(*held))))
+
+
+def candidates(signed: DataFrame, label: str) -> DataFrame:
+    """The rows of documents and all candidate links, of set numbers or hashes, as a table."""
+    return materialise(signed.repartition("at").sortWithinPartitions("at").mapInArrow(in_slices(_meet, 1 << 12), _SIGNED_ROWS), label)
+
+
+def candidate_links(found: DataFrame) -> DataFrame:
+    """(a, b): the candidate links as set hashes."""
+    of_kind = lambda kind, x, y: found.filter(F.col("kind") == kind).select(F.col("x").alias(x), F.col("y").alias(y))
+    names = of_kind(_NUMBER, "number", "hash")
+    one_end = of_kind(_NUMBERED_LINK, "p", "q").distinct().join(names, F.col("p") == F.col("number")).select(F.col("hash").alias("a"), "q")
+    both = one_end.join(names, F.col("q") == F.col("number")).select("a", F.col("hash").alias("b"))
+    return of_kind(_LINK, "a", "b").unionByName(both)
 
 
 class TokenGroupMatrix:
@@ -339,25 +417,25 @@ def _refined(members: DataFrame, weight: DataFrame, texts: DataFrame, words: int
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), label)), pa.array(np.full(len(s), h)), pa.array(np.full(len(s), n)), pa.array(s.view(_SIGNED))], names=["label", "hash", "n", "token"])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign = Signatures(least)
+        sign, block = Signatures(least), Block(buckets)
         for b in batches:
-            sigs, owners = [], []
             for label, h, n, rest in zip(*(b.column(k).to_pylist() for k in range(4))):
                 own = sign.of(np.unique(np.array(rest or [], dtype=_SIGNED).view(np.uint64)), n)
-                sigs.append(mix64(own ^ mix64(np.array([label], dtype=_SIGNED).view(np.uint64))))
-                owners.append(np.full(len(own), h))
-            if sigs:
-                yield _rows(1, np.concatenate(sigs).view(_SIGNED), np.concatenate(owners))
+                block.add(h, mix64(own ^ mix64(np.array([label], dtype=_SIGNED).view(np.uint64))))
+                if block.signed > _BLOCK_SIGNATURES:
+                    yield from block.flush()
+        yield from block.flush()
 
     wide = members.join(weight.filter("blocks > 1").select("label", "m"), "label")
     keyed = wide.select("label", "hash", "n", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_key")
     with_text = keyed.join(texts.hint("merge"), ["id", "no_id", "text_key"]).select("label", "hash", "n", "text")
     held = materialise(with_text.mapInArrow(in_slices(tokens), "label long, hash long, n long, token long"), "tokens")
+    buckets = bucket_count(members.sparkSession, held.count())
     often = held.groupBy("label", "token").agg(F.count("*").alias("c")).join(weight, "label").filter(F.col("c") > F.col("m") * F.lit(common)).select("label", "token")
     rest = held.join(often, ["label", "token"], "left_anti").groupBy("label", "hash").agg(F.collect_list("token").alias("rest"))
     rows = wide.select("label", "hash", "n").join(rest, ["label", "hash"], "left").mapInArrow(in_slices(signed), _SIGNED_ROWS)
-    found = materialise(rows.repartition("at").sortWithinPartitions("at", "y").mapInArrow(in_slices(_meet, 1 << 16), _SIGNED_ROWS), "resigned")
-    finer = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    found = candidates(rows, "resigned")
+    finer = components(candidate_links(found))
     parted = wide.drop("label", "m").join(finer, wide.hash == finer.node).select("label", "hash", "doc_id", "text_key", "n")
     out = materialise(members.join(weight.filter("blocks = 1").select("label"), "label").select(*members.columns).unionByName(parted), "members")
     for table in (held, found, finer):
@@ -405,9 +483,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     ship(spark)
     signed = sets_and_signatures(docs, id_col, text_col, words, least)
-    found = materialise(signed.repartition("at").sortWithinPartitions("at", "y").mapInArrow(in_slices(_meet, 1 << 16), _SIGNED_ROWS), "sets")
-    sets = found.filter("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), F.col("z").alias("hash"), "text_key")
-    families = components(found.filter("kind = 2").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    found = candidates(signed, "sets")
+    sets = found.filter(F.col("kind") == _DOCUMENT).select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), F.col("z").alias("hash"), "text_key")
+    families = components(candidate_links(found))
     # the row whose text stands for a set: the least id, and any text of it that gives the set
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
     nodes = sets.filter("hash is not null").groupBy("hash").agg(first.alias("row"), F.min("n_shingles").alias("n")).select("hash", F.col("row.doc_id").alias("doc_id"), F.col("row.text_key").alias("text_key"), "n")

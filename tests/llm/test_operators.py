@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter
@@ -361,6 +362,42 @@ def test_jaccard_join(spark, docs, nothing, n, least, block):
         assert sorted(r.doc_id for r in jaccard_join.one_of_each_group(docs).filter("text is not null and doc_id is not null").collect() if r.text == BASE) == [5, 5]
 
 
+def test_signatures_are_shuffled_in_packed_rows(spark):
+    docs = spark.createDataFrame([(k, long_text(k // 2, 300)) for k in range(120)], "doc_id long, text string").repartition(3)
+    sign, want = jaccard_join.Signatures(80), {}
+    for k in range(60):
+        s = jaccard_join.shingle_set(long_text(k, 300), 5)
+        want[jaccard_join.set_hash(s)] = {int(x) >> 8 for x in sign.of(s, rare=s)}
+    most = 9 * sum(map(len, want.values()))  # bytes, whatever the number of partitions; copies may lie in two blocks
+    for partitions in ("4", "600"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            rows = jaccard_join.sets_and_signatures(docs, "doc_id", "text", 5, 80).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        name = {r.x: r.y for r in rows if r.kind == jaccard_join._NUMBER}
+        packed = [r for r in rows if r.kind == jaccard_join._PACKED]
+        assert sum(len(r.packed) for r in packed) < 2 * most
+        found = {h: set() for h in want}
+        for r in packed:
+            for key, number in zip(*jaccard_join.unpacked(r.x, r.y, r.z, r.text_key, r.packed)):
+                found[name[int(number)]].add(int(key))
+        assert all(found[h] <= want[h] for h in want) and set().union(*found.values()) == set().union(*want.values())
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    files = lambda: sum(f.getName().endswith(".data") for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    df, before = spark.range(1000).repartition(3, "id"), files()
+    table = common.materialise(df, "shuffled")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and table.count() == 1000
+    assert df.count() == 1000
+
+
 def test_jaccard_join_reaches_through_rows_without_ids(spark):
     w = long_text(21, 200).split()
     a, b, c = " ".join(w[:100]), " ".join(w[4:104]), " ".join(w[8:108])
