@@ -103,6 +103,25 @@ def test_lm_codes_are_complete():
         assert math.isclose(sum(2.0 ** -int(n) for n in coder.length[low:high]), 1.0)
 
 
+def test_lm_pairs_and_codes_come_from_all_learning_rows(spark, monkeypatch):
+    rows = [(k, f"the cat of the hat {long_text(k, 5)} " + "".join(chr(97 + (k * j) % 26) for j in range(9))) for k in range(200)]
+    texts, docs = [mixing_model.normal(t) for _, t in rows], spark.createDataFrame(rows, "doc_id long, text string")
+    hashes, n = np.unique(mixing_model.token_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8))[2], return_counts=True)
+    words, times = hashes[n >= 200], n[n >= 200]
+    want = mixing_model.fitted_coder(words, times, texts)
+    for some in (docs, docs.repartition(7)):
+        got = mixing_model.learned_coder(some, words, times, len(rows))
+        assert (got.pair == want.pair).all() and (got.length == want.length).all() and (got.salt == want.salt).all()
+    counts = sum(np.bincount(mixing_model.Batch(want, [t]).symbols(want).symbol, minlength=want.end_mark + 1) for t in texts)
+    assert (np.where(np.arange(len(counts)) < want.base, counts, 0) == np.where(np.arange(len(counts)) < want.base, mixing_model.cold_counts(want, texts), 0)).all()
+    assert counts[want.escape] == mixing_model.cold_counts(want, texts)[want.escape]
+    given = []
+    keep = mixing_model.learned_coder
+    monkeypatch.setattr(mixing_model, "learned_coder", lambda learning, *rest: given.append(learning.count()) or keep(learning, *rest))
+    mixing_model.score(docs, mixer_documents=3)
+    assert given == [sum(zlib.crc32(str(k).encode()) % 10 != 0 for k, _ in rows)]
+
+
 def test_lm_scores_equal_a_plain_mixer_and_beat_the_base(spark):
     dice = np.random.default_rng(4)
     stock = long_text(77, 300).split()
