@@ -31,7 +31,8 @@ from millrace.shipping import ship
 _BLOCK_SHINGLES = 1_500_000
 _BLOCK_SIGNATURES = 500_000
 _HELD_LINKS = 200_000
-_SLOTS = 1 << 20
+_LEAST_SLOT_BITS, _MOST_SLOT_BITS = 20, 25
+_SLOT_TEXTS = 32768
 _SIGNED = np.int64
 
 
@@ -198,41 +199,73 @@ def bucket_count(spark: SparkSession, shingles: int) -> int:
     return max(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), shingles >> 20)
 
 
+def slot_bits(text_bytes: int) -> int:
+    """Slots of shingle hashes grow with the texts, some eight shingles a slot, up to what a task can hold."""
+    return min(_MOST_SLOT_BITS, max(_LEAST_SLOT_BITS, (text_bytes // 48).bit_length()))
+
+
 def common_slots(docs: DataFrame, text_col: str, words: int, times: float = 4.0) -> tuple[np.ndarray, int]:
-    """Which of 2**20 slots of shingle hashes are common: those that hold more than ``times`` the mean number of (text, shingle), and a hundred
-    more; and the number of all (text, shingle). Every text counts; tasks send packed counts of all slots, so what is shuffled follows the number of tasks."""
-    pack, cell = zstandard.ZstdCompressor, 1 << 14
+    """Which slots of shingle hashes (``slot_bits``) are common: those that hold more than ``times`` the mean number of (text, shingle), and a
+    hundred more; and the number of all (text, shingle). Every text counts; tasks send packed counts of all slots, and packed bits reach the driver."""
+    text, cell = docs[text_col].cast("string"), 1 << 14
+    size = 1 << slot_bits(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+
+    def packed(found: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for k in range(0, size, cell):
+            part = found[k : k + cell]
+            if part.any():
+                planes = np.ascontiguousarray(part.view(np.uint8).reshape(-1, 2).T)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pack.compress(planes.tobytes())], pa.binary())], names=["cell", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(_SLOTS, dtype=np.uint32)
+        found, texts = np.zeros(size, dtype=np.uint16), 0
         for b in batches:
             for t in b.column(0).to_pylist():
-                np.add.at(found, _slot(shingle_set(t, words)), np.uint32(1))
-        for k in range(0, _SLOTS, cell):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pack(level=1).compress(found[k : k + cell].tobytes())], pa.binary())], names=["cell", "counts"])
+                np.add.at(found, _slot(shingle_set(t, words), size), np.uint16(1))
+            texts += b.num_rows
+            if texts > _SLOT_TEXTS:
+                yield from packed(found)
+                found[:], texts = 0, 0
+        yield from packed(found)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total, unpack = None, None, zstandard.ZstdDecompressor()
+
+        def done() -> pa.RecordBatch:
+            counts = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([int(total.sum())], pa.int64()), pa.array([counts], pa.binary())], names=["cell", "n", "counts"])
+
         for k, data in (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
             if k != at and at is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(at + np.arange(cell)), pa.array(total)], names=["slot", "n"])
-            part = np.frombuffer(unpack.decompress(data), dtype=np.uint32).astype(np.int64)
+                yield done()
+            low, high = np.frombuffer(unpack.decompress(data), dtype=np.uint8).reshape(2, -1).astype(np.int64)
+            part = low + (high << 8)
             at, total = k, total + part if k == at else part
         if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(at + np.arange(cell)), pa.array(total)], names=["slot", "n"])
+            yield done()
 
-    cells = docs.select(docs[text_col].cast("string").alias("t")).mapInArrow(in_slices(count), "cell long, counts binary")
-    slots = materialise(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(in_slices(add), "slot long, n long"), "slots")
+    cells = docs.select(text.alias("t")).mapInArrow(in_slices(count), "cell long, counts binary")
+    slots = materialise(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(in_slices(add), "cell long, n long, counts binary"), "slots")
     total = slots.agg(F.sum("n")).first()[0] or 0
-    mean = total / _SLOTS
-    out = np.zeros(_SLOTS, dtype=bool)
-    out[[r.slot for r in slots.filter(F.col("n") > times * mean + 100).select("slot").collect()]] = True  # at most a share of 1 / times
+    least = times * total / size + 100
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for b in batches:
+            bits = [np.packbits(np.frombuffer(unpack.decompress(data), dtype=np.int64) > least).tobytes() for data in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.binary())], names=["cell", "bits"])
+
+    out = np.zeros(size, dtype=bool)
+    for r in slots.mapInArrow(in_slices(above), "cell long, bits binary").collect():
+        out[r.cell : r.cell + cell] = np.unpackbits(np.frombuffer(r.bits, dtype=np.uint8)).view(bool)
     discard(slots)
     return out, total
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (mix64(hashes) >> np.uint64(44)).astype(np.int64)
+def _slot(hashes: np.ndarray, size: int) -> np.ndarray:
+    """``size``: a power of two."""
+    return (mix64(hashes) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 def sets_and_signatures(docs: DataFrame, id_col: str, text_col: str, words: int, least: int) -> DataFrame:
@@ -252,7 +285,7 @@ def sets_and_signatures(docs: DataFrame, id_col: str, text_col: str, words: int,
                 hashes.append(h)
                 if h is not None and h not in seen:
                     seen.add(h)
-                    block.add(h, sign.of(s, rare=s[~often[_slot(s)]]))
+                    block.add(h, sign.of(s, rare=s[~often[_slot(s, len(often))]]))
                     load += len(s)
                     if load > _BLOCK_SHINGLES or block.signed > _BLOCK_SIGNATURES:
                         yield from block.flush()
@@ -407,38 +440,58 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _refined(members: DataFrame, weight: DataFrame, texts: DataFrame, words: int, least: int, common: float = 0.05) -> DataFrame:
     """The members of the families that don't fit one task, in smaller families: shingles that more than ``common`` of a family's sets hold
     are left out, the sets sign what remains, and the components of the new candidates are families. So texts that only share
-    passages of many texts part, and the pairs of blocks of a large family stay few. Members without a candidate go."""
+    passages of many texts part, and the pairs of blocks of a large family stay few. Members without a candidate go.
+
+    Whatever is left out, no link is lost, so 32 to 128 sets of a family tell what is common in it. Shingles are rows for these sets
+    alone; all sets are shuffled as packed texts and meet their family's common shingles, block by block, where they sign.
+    """
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for label, h, n, t in (row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(4)))):
+        for label, h, t in (row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(3)))):
             s = shingle_set(unpack.decompress(t).decode(), words)
             if set_hash(s) == h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), label)), pa.array(np.full(len(s), h)), pa.array(np.full(len(s), n)), pa.array(s.view(_SIGNED))], names=["label", "hash", "n", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), label)), pa.array(s.view(_SIGNED))], names=["label", "token"])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign, block = Signatures(least), Block(buckets)
+        """Rows sorted by family and block, the common shingles before the sets."""
+        sign, block, unpack = Signatures(least), Block(buckets), zstandard.ZstdDecompressor()
+        of, often = None, np.empty(0, dtype=np.uint64)
         for b in batches:
-            for label, h, n, rest in zip(*(b.column(k).to_pylist() for k in range(4))):
-                own = sign.of(np.unique(np.array(rest or [], dtype=_SIGNED).view(np.uint64)), n)
+            for k, row in enumerate(zip(*(b.column(c).to_pylist() for c in range(5)))):
+                label, part, h, n, t = row
+                if of != (label, part):
+                    of, often = (label, part), np.empty(0, dtype=np.uint64)
+                if t is None:
+                    often = np.sort(np.array(b.column(5)[k].as_py(), dtype=_SIGNED).view(np.uint64))
+                    continue
+                s = shingle_set(unpack.decompress(t).decode(), words)
+                if set_hash(s) != h:
+                    continue
+                own = sign.of(np.setdiff1d(s, often, assume_unique=True), n)
                 block.add(h, mix64(own ^ mix64(np.array([label], dtype=_SIGNED).view(np.uint64))))
                 if block.signed > _BLOCK_SIGNATURES:
                     yield from block.flush()
         yield from block.flush()
 
-    wide = members.join(weight.filter("blocks > 1").select("label", "m"), "label")
-    keyed = wide.select("label", "hash", "n", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_key")
-    with_text = keyed.join(texts.hint("merge"), ["id", "no_id", "text_key"]).select("label", "hash", "n", "text")
-    held = materialise(with_text.mapInArrow(in_slices(tokens), "label long, hash long, n long, token long"), "tokens")
-    buckets = bucket_count(members.sparkSession, held.count())
-    often = held.groupBy("label", "token").agg(F.count("*").alias("c")).join(weight, "label").filter(F.col("c") > F.col("m") * F.lit(common)).select("label", "token")
-    rest = held.join(often, ["label", "token"], "left_anti").groupBy("label", "hash").agg(F.collect_list("token").alias("rest"))
-    rows = wide.select("label", "hash", "n").join(rest, ["label", "hash"], "left").mapInArrow(in_slices(signed), _SIGNED_ROWS)
-    found = candidates(rows, "resigned")
-    finer = components(candidate_links(found))
-    parted = wide.drop("label", "m").join(finer, wide.hash == finer.node).select("label", "hash", "doc_id", "text_key", "n")
+    wide = members.join(weight.filter("blocks > 1").select("label", "m", "blocks"), "label")
+    buckets = bucket_count(members.sparkSession, wide.agg(F.sum("n")).first()[0])
+    keyed = wide.select("label", "hash", "n", "m", "blocks", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_key")
+    held = materialise(keyed.join(texts.hint("merge"), ["id", "no_id", "text_key"]).select("label", "hash", "n", "m", "blocks", "text"), "wide")
+    lot = F.pmod(F.xxhash64("hash", F.lit("often")), F.col("m"))
+    asked = F.least(F.greatest(F.lit(32), F.least(F.lit(128), F.col("m") / 8)), "m")
+    found = held.filter(lot < asked).select("label", "hash", "text").mapInArrow(in_slices(tokens), "label long, token long")
+    often = found.groupBy("label", "token").agg(F.count("*").alias("c")).join(weight, "label").filter((F.col("c") > 1) & (F.col("c") > asked * F.lit(common)))
+    often = often.groupBy("label", "blocks").agg(F.collect_list("token").alias("often"))
+    none = lambda kind: F.lit(None).cast(kind)
+    lists = often.select("label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), none("long").alias("hash"), none("long").alias("n"), none("binary").alias("text"), "often")
+    sets = held.select("label", F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int").alias("part"), "hash", "n", "text", none("array<long>").alias("often"))
+    rows = lists.unionByName(sets).repartition("label", "part").sortWithinPartitions("label", "part", F.col("text").isNotNull())
+    resigned = candidates(rows.mapInArrow(in_slices(signed), _SIGNED_ROWS), "resigned")
+    finer = components(candidate_links(resigned))
+    parted = wide.select("label", "hash", "doc_id", "text_key", "n").withColumnRenamed("label", "wide").join(finer, F.col("hash") == finer.node).select("label", "hash", "doc_id", "text_key", "n")
     out = materialise(members.join(weight.filter("blocks = 1").select("label"), "label").select(*members.columns).unionByName(parted), "members")
-    for table in (held, found, finer):
+    for table in (held, resigned, finer):
         discard(table)
     return out
 

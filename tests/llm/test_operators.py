@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import time
 import unicodedata
@@ -561,3 +562,32 @@ def test_scratch_tables_go(spark):
     clear_scratch(spark)
     with pytest.raises(Exception):
         spark.read.parquet(kept.inputFiles()[0]).count()
+
+
+def test_jaccard_join_of_wide_families_keeps_shingles_in_few_rows(spark, monkeypatch):
+    """Sets of wide families are shuffled as texts: no table has a row for each of their shingles, and the groups are the same."""
+    dice = random.Random(5)
+    bases = [[f"w{dice.randrange(10**6)}" for _ in range(200)] for _ in range(2)]
+    texts = [" ".join([*bases[k % 2][:at], f"x{k}", *bases[k % 2][at + 1 :]]) for k, at in ((k, dice.randrange(200)) for k in range(90))]
+    tables = {}
+
+    def kept(df, label, made=jaccard_join.materialise):
+        out = made(df, label)
+        tables[label] = max(tables.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", kept)
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = {r.doc_id: r.component_id for r in jaccard_join.link_documents(data, task_sets=20).collect()}
+    assert seen == {k: k % 2 for k in range(90)}
+    assert "wide" in tables and tables["wide"] <= 90 and "tokens" not in tables
+
+
+def test_jaccard_join_counts_common_shingles_in_slots_that_grow(spark, monkeypatch):
+    """A shingle of many texts stays apart from the mean of all however many there are."""
+    assert [jaccard_join.slot_bits(n) for n in (0, 10**8, 10**9, 10**10, 10**12)] == [20, 21, 25, 25, 25]
+    monkeypatch.setattr(jaccard_join, "_SLOT_TEXTS", 50)
+    texts = [f"a b c {k} x{k} y{k}" for k in range(300)] + [None, ""]
+    slots, total = jaccard_join.common_slots(spark.createDataFrame([(t,) for t in texts], "text string"), "text", 3)
+    often = jaccard_join.shingle_set("a b c", 3)
+    assert total == 300 * 4 and np.flatnonzero(slots).tolist() == jaccard_join._slot(often, len(slots)).tolist()
