@@ -1,6 +1,7 @@
 import base64
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +45,21 @@ def test_a_language_of_one_row_and_one_of_no_letters(spark):
     rows = [(1, "Kaikki ihmiset syntyvät vapaina", "fi"), (2, "123", "xx")]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
     assert model.judge(["ihmiset vapaina", None])[2] == [False, True]
+
+
+def test_centroids_and_floors_come_from_all_learning_rows(spark):
+    dice = random.Random(4)
+    rows = [(k, prose(dice, lang, dice.choice((5, 20, 80, 300))), lang) for k, lang in enumerate(["en", "de"] * 60)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), clusters=1, sample_per_language=6)
+    for k, lang in enumerate(model.languages):
+        vectors = [language_id.vector(t, model.idf) for _, t, l in rows if l == lang]
+        total = np.sum(vectors, axis=0)
+        assert np.allclose(model.centroids[k], total / np.linalg.norm(total), atol=1e-5)
+        lows = {}
+        for own, (_, t, _) in zip(vectors, (r for r in rows if r[2] == lang)):
+            rest = (total - own) / np.linalg.norm(total - own)
+            for head in language_id.beginnings(t):
+                x = language_id.vector(head, model.idf)
+                lows.setdefault(language_id.level(np.count_nonzero(x)), []).append(float(rest @ x))
+        floors = [0.5 * min(min(v) for at, v in lows.items() if at >= n) for n in range(max(lows) + 1)]  # of so few rows the quantile is the least
+        assert np.allclose(model.least[k][: len(floors)], floors, atol=1e-4)
