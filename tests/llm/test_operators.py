@@ -591,3 +591,33 @@ def test_jaccard_join_counts_common_shingles_in_slots_that_grow(spark, monkeypat
     slots, total = jaccard_join.common_slots(spark.createDataFrame([(t,) for t in texts], "text string"), "text", 3)
     often = jaccard_join.shingle_set("a b c", 3)
     assert total == 300 * 4 and np.flatnonzero(slots).tolist() == jaccard_join._slot(often, len(slots)).tolist()
+
+
+def test_lm_mixer_learns_from_all_rows(spark, monkeypatch):
+    """The Newton step sees every learning row once, whatever the sample; it lowers the code length of texts whose halves are alike."""
+    dice, stock = random.Random(6), ["".join(random.Random(k).choices("abcdefgh", k=5)) for k in range(60)]
+    follow = {w: dice.sample(stock, 3) for w in stock}
+
+    def text() -> str:
+        words = [dice.choice(stock)]
+        for _ in range(60):
+            words.append(dice.choice(follow[words[-1]]))
+        return " ".join(words)
+
+    rows = [(k, text()) for k in range(400)]
+    docs, seen = spark.createDataFrame(rows, "doc_id long, text string"), []
+    step = mixing_model.Mixer.step
+    monkeypatch.setattr(mixing_model.Mixer, "step", lambda self, sums: (seen.append(sums.copy()), step(self, sums))[1])
+    after = {r.doc_id: r.bits_per_byte for r in mixing_model.score(docs, mixer_documents=5).collect() if r.held_out}
+    learnt = [mixing_model.normal(t) for k, t in rows if zlib.crc32(str(k).encode()) % 10]
+    monkeypatch.setattr(mixing_model.Mixer, "step", lambda self, sums: None)
+    before = {r.doc_id: r.bits_per_byte for r in mixing_model.score(docs, mixer_documents=5).collect() if r.held_out}
+    assert len(seen) == 1 and seen[0][4].sum() > 0
+    assert sum(after.values()) < sum(before.values())
+    words, times = np.unique(mixing_model.token_hashes(np.frombuffer(b"".join(learnt), dtype=np.uint8))[2], return_counts=True)
+    coder = mixing_model.fitted_coder(words, times, learnt)
+    mixer = mixing_model.Mixer(coder, np.zeros(int(mixing_model._OFFSETS[-1]), dtype=np.int16))
+    sums = np.zeros((14, len(mixer.refine)))
+    mixer.sums(mixing_model.Batch(coder, learnt), sums)
+    bits = sum(int(np.minimum(coder.length[mixing_model.Batch(coder, [t]).symbols(coder).symbol], mixing_model.DEEP).sum()) for t in learnt)
+    assert sums[4].sum() == bits * mixing_model._STEP / 4  # a quarter for each bit of an even guess
