@@ -621,3 +621,54 @@ def test_lm_mixer_learns_from_all_rows(spark, monkeypatch):
     mixer.sums(mixing_model.Batch(coder, learnt), sums)
     bits = sum(int(np.minimum(coder.length[mixing_model.Batch(coder, [t]).symbols(coder).symbol], mixing_model.DEEP).sum()) for t in learnt)
     assert sums[4].sum() == bits * mixing_model._STEP / 4  # a quarter for each bit of an even guess
+
+
+def test_lm_tables_and_sums_equal_those_of_plain_bits():
+    """Symbols without their texts give the same contexts; tables and the Newton step's sums, bit by bit, are exact whatever the batches."""
+    texts = [mixing_model.normal(t) for t in (long_text(1, 60), None, "", "a", "Zq üß x" + "y" * 40, long_text(2, 80), long_text(1, 60))]
+    hashes, n = np.unique(mixing_model.token_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8))[2], return_counts=True)
+    coder = mixing_model.fitted_coder(hashes[n > 1], n[n > 1], texts)
+    batch = mixing_model.Batch(coder, texts).symbols(coder)
+    alone = [mixing_model.Batch(coder, [t]).symbols(coder) for t in texts]
+    again = mixing_model.Symbols(coder, batch.symbol, batch.sizes)
+    for k in range(3):
+        assert (again.contexts[k] == np.concatenate([b.contexts[k] for b in alone])).all()
+    for s in np.flatnonzero(again.symbol >= coder.base):  # a word starts: nothing of it has been seen
+        assert again.contexts[2][s] == again.contexts[2][0]
+    counts, apart = mixing_model.Counts(), mixing_model.Counts()
+    counts.add(coder, again)
+    for b in alone:
+        apart.add(coder, b)
+    want = np.zeros(len(counts.n), dtype=np.int64)
+    bits = []
+    for at, s in enumerate(batch.symbol):
+        for d in range(min(mixing_model.DEEP, int(coder.length[s]))):
+            slots = [int((int(c[at]) ^ int(coder.salt[d, s])) * 0x85EBCA6B % (1 << 32)) >> (32 - size) for c, size in zip(batch.contexts, mixing_model.SIZES)]
+            bits.append((int(coder.bit[d, s]), slots))
+            for low, slot in zip(mixing_model._OFFSETS, slots):
+                want[2 * (int(low) + slot) + bits[-1][0]] += 1
+    assert (counts.n == want).all() and (apart.n == want).all()
+
+    mixer = mixing_model.Mixer(coder, mixing_model._states(counts.n))
+    out, parted, plain = (np.zeros((14, len(mixer.refine))) for _ in range(3))
+    mixer.sums(again, out)
+    for b in alone:
+        mixer.sums(b, parted)
+    assert (out == np.rint(out)).all() and out[[0, 4, 5, 6, 7]].tolist() == parted[[0, 4, 5, 6, 7]].tolist()
+    by_gate = [mixer_gates(x) for x in (out, parted)]
+    assert np.array_equal(*by_gate)
+    for bit, slots in bits:
+        states = [int(t[x]) for t, x in zip(mixer.tables, slots)]
+        gate, x = (states[1] & 7) << 3 | states[2] & 7, [(v >> 3) / 256 for v in states]
+        total = sum(float(mixer.weights[k, gate]) * 256 * x[k] for k in range(3)) + float(mixer.weights[3, gate])
+        p = 1 / (1 + math.exp(-total))
+        spread = p * (1 - p)
+        plain[:, gate * 33] += [bit - p, *((bit - p) * v for v in x), spread, *(spread * v for v in x), *(spread * x[i] * x[j] for i, j in mixing_model._PAIRS)]
+    assert np.allclose(by_gate[0], plain[:, ::33], atol=0.02, rtol=1e-3)
+
+
+def mixer_gates(sums: np.ndarray) -> np.ndarray:
+    """The sums by gate, in whole units."""
+    s = sums.reshape(14, 64, -1) / mixing_model._STEP
+    units = np.repeat([1, 1, 1, 256], [1, 3, 1, 3])
+    return np.concatenate((s[:8].sum(axis=2) / units[:, None], s[8:, :, 0] + s[8:, :, 1] / 65536)) - np.concatenate((np.zeros((1, 64)), s[1:4, :, 1] * (1 - 1 / 256), np.zeros((10, 64))))
